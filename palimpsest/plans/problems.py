@@ -80,7 +80,7 @@ WITH iv AS (
          coalesce(epoch_us(valid_to), 4611686018427387904) AS e
   FROM memory_revisions WHERE memory_id IS NOT NULL
 ), kept AS (
-  SELECT * FROM iv WHERE s < e
+  SELECT DISTINCT * FROM iv WHERE s < e
 ), seen AS (
   SELECT memory_id, s, e,
          max(e) OVER (PARTITION BY memory_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered_to
