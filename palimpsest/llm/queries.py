@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm import leaks, mixture, split, truncation
+from palimpsest.llm import knn, leaks, mixture, split, truncation
 from palimpsest.sources.tables import read
 
 
@@ -24,6 +24,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter(F.col("piece") == 0).select("revision_id", "field")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of segments of which one is among the five nearest of the other."""
+    return knn.pairs(knn.nearest(read(spark, sf_dir, "memory_vectors")))
+
+
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy against brute force for one in a hundred segments."""
+    vectors = read(spark, sf_dir, "memory_vectors")
+    return knn.recall(vectors, knn.nearest(vectors))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they leak."""
     return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -63,6 +74,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_recall": p4_recall,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_cleaned": p7_cleaned,
