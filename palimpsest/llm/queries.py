@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm import knn, leaks, mixture, split, truncation
+from palimpsest.llm import knn, leaks, mixture, near_duplicates, split, truncation
 from palimpsest.sources.tables import read
 
 
@@ -35,6 +37,20 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.recall(vectors, knn.nearest(vectors))
 
 
+def _near_revisions(spark: SparkSession, sf_dir: str) -> near_duplicates.NearDuplicates:
+    return near_duplicates.NearDuplicates(read(spark, sf_dir, "memory_revisions"), "id", "searchable_text", Fraction(7, 10), 3)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of revisions whose texts are nearly the same."""
+    return _near_revisions(spark, sf_dir).text_pairs().withColumnsRenamed({"id_a": "revision_id_a", "id_b": "revision_id_b"})
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revision with a near copy, its group and its class's number of links."""
+    return _near_revisions(spark, sf_dir).groups().withColumnRenamed("id", "revision_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they leak."""
     return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -76,6 +92,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_recall": p4_recall,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_cleaned": p7_cleaned,
