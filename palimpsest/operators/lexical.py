@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions import text
+from palimpsest.functions.columns import computed_once
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -25,12 +26,25 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for t in terms if (p := regex.findall(text.TOKEN, text.fold_text(t)))]
 
 
-def _hits(tokens: str, phrase: list[str]) -> Column:
+def _hits(tokens: Column, phrase: list[str]) -> Column:
+    """How often the phrase's tokens follow each other."""
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    wanted = F.array(*[F.lit(p) for p in phrase])
-    starts = F.when(F.size(tokens) >= len(phrase), F.sequence(F.lit(1), F.size(tokens) - len(phrase) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, len(phrase)) == wanted))
+    starts = F.when(F.size(tokens) >= len(phrase), F.sequence(F.lit(0), F.size(tokens) - len(phrase))).otherwise(F.array().cast("array<int>"))
+
+    def begins(i: Column) -> Column:
+        same = tokens[i] == phrase[0]
+        for j, word in enumerate(phrase[1:], 1):
+            same = same & (tokens[i + j] == word)
+        return same
+
+    return F.size(F.filter(starts, begins))
+
+
+def _counts(phrases: list[list[str]]):
+    """Token count and hits per phrase of one text. The tokens are a lambda variable, so that they
+    are found once per text and not once per use."""
+    return lambda t: F.struct(F.size(t).alias("n"), *[_hits(t, phrase).alias(f"h{p}") for p, phrase in enumerate(phrases)])
 
 
 def bm25(corpus: DataFrame, columns: dict[str, float], query: str) -> DataFrame:
@@ -39,15 +53,14 @@ def bm25(corpus: DataFrame, columns: dict[str, float], query: str) -> DataFrame:
     phrases = query_phrases(query)
     if not phrases:
         return corpus.withColumn("score", F.lit(0.0)).limit(0)
-    tokenised = corpus.withColumns({f"_t{i}": text.tokens(c) for i, c in enumerate(columns)})
     weights = list(columns.values())
-    length = sum((F.size(f"_t{i}") for i in range(1, len(weights))), F.size("_t0"))
-    counted = tokenised.withColumn("_len", length)
-    hits = {}
-    for p, phrase in enumerate(phrases):
+    counted = computed_once(corpus, {f"_c{i}": F.transform(F.array(text.tokens(c)), _counts(phrases))[0] for i, c in enumerate(columns)})
+    flat = {"_len": sum((F.col(f"_c{i}.n") for i in range(1, len(weights))), F.col("_c0.n"))}
+    for p in range(len(phrases)):
         for i in range(len(weights)):
-            hits[f"_h{p}_{i}"] = _hits(f"_t{i}", phrase)
-    counted = counted.withColumns(hits).drop(*[f"_t{i}" for i in range(len(weights))])
+            flat[f"_h{p}_{i}"] = F.col(f"_c{i}.h{p}")
+    counted = counted.withColumns(flat).drop(*[f"_c{i}" for i in range(len(weights))])
+    hits = [name for name in flat if name != "_len"]
     any_hit = [sum((F.col(f"_h{p}_{i}") for i in range(1, len(weights))), F.col(f"_h{p}_0")) > 0 for p in range(len(phrases))]
     stats = counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("_len").alias("mean"), *[F.count_if(h).alias(f"n{p}") for p, h in enumerate(any_hit)]).first()
     rows, mean = stats["rows"], stats["mean"] or 1.0

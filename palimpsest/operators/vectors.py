@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.functions.columns import computed_once
+
 
 def l2(column: str | Column, query: list[float]) -> Column:
     """Euclidean distance in double precision; null for vectors of another length."""
@@ -16,4 +18,4 @@ def l2(column: str | Column, query: list[float]) -> Column:
 def nearest(df: DataFrame, column: str, query: list[float], k: int, id_column: str) -> DataFrame:
     """The k rows nearest to ``query`` with ``distance``; ties by id. Filter before: the answer is
     exact for whatever rows are left."""
-    return df.withColumn("distance", l2(column, query)).filter(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_column).limit(k)
+    return computed_once(df, {"distance": l2(column, query)}).filter(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_column).limit(k)
