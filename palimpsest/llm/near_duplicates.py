@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from palimpsest.functions.bloom import might_contain
+from palimpsest.functions.columns import computed_once
 from palimpsest.session import materialize, release_shuffles
 
 WORDS = r"[\p{L}\p{N}]+"
@@ -68,7 +69,7 @@ class NearDuplicates:
         rows = rows.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
         #: (id, h1, h2): every text's class, equal texts sharing one; redelivered ids once.
         self.members = materialize(rows.select("id", "h1", "h2").distinct(), "members")
-        one = rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]).select("h1", "h2", shingles(F.col("text"), width).alias("sh"))
+        one = computed_once(rows.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]), {"sh": shingles(F.col("text"), width)})
         one = one.filter(F.size("sh") > 0).select(F.monotonically_increasing_id().alias("did"), "h1", "h2", F.size("sh").alias("n"), "sh")
         #: (did, h1, h2, n, sh): one row per class with shingles.
         self.sets = materialize(one, "sets")
