@@ -31,22 +31,24 @@ def live_links(links: DataFrame, at: str) -> DataFrame:
 def resolve_canonical(redirects: DataFrame, at: str | None = None, most_rounds: int = 64) -> DataFrame:
     """(memory_id, canonical_id, hops) of every redirected memory: redirects followed to their end.
 
-    Paths double every round, so chains of n take log2(n) joins; a cycle raises.
+    Paths double every round, so chains of n take log2(n) joins. A path longer than there are
+    redirects is a cycle, which raises.
     """
-    step = latest_redirects(redirects, at).select(F.col("source_memory_id").alias("memory_id"), F.col("canonical_memory_id").alias("canonical_id"), F.lit(1).alias("hops"))
+    step = latest_redirects(redirects, at).select(F.col("source_memory_id").alias("memory_id"), F.col("canonical_memory_id").alias("canonical_id"), F.lit(1).cast("bigint").alias("hops"))
     now = materialize(step, "canonical")
+    longest = now.count()
     for _ in range(most_rounds):
         further = now.select(F.col("memory_id").alias("canonical_id"), F.col("canonical_id").alias("next"), F.col("hops").alias("more"))
         after = materialize(
             now.join(further, "canonical_id", "left").select(
-                "memory_id", F.coalesce("next", "canonical_id").alias("canonical_id"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")
+                "memory_id", F.coalesce("next", "canonical_id").alias("canonical_id"), (F.col("hops") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("hops"), F.col("next").isNotNull().alias("moved")
             ),
             "canonical",
         )
-        if after.filter(F.col("moved") & (F.col("memory_id") == F.col("canonical_id"))).limit(1).count():
+        if after.filter((F.col("hops") > longest) | (F.col("memory_id") == F.col("canonical_id"))).limit(1).count():
             raise ValueError("redirects form a cycle")
         if not after.filter("moved").limit(1).count():
-            return after.drop("moved")
+            return after.select("memory_id", "canonical_id", F.col("hops").cast("int").alias("hops"))
         now = after.drop("moved")
     raise ValueError("redirects form a cycle")
 
