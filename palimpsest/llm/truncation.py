@@ -79,9 +79,8 @@ def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = fro
     """
     text = core(text)
     bare = text.strip()
-    if len(re.findall(r"\w+", bare)) < 2 and not _MARK.search(bare):
-        return "almost empty"
-    if len(re.findall(r"\w", bare)) < 2:
+    letters = len(re.findall(r"\w", bare))
+    if letters < 2 or (letters < 8 and len(bare.split()) < 2 and not _MARK.search(bare)):
         return "almost empty"
     if bare[0] in "{[" and parse(bare)[0]:
         return "complete record"
