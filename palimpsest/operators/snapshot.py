@@ -7,14 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def export_nested(memories: DataFrame, revisions: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per memory with its revisions and state events as ordered arrays.
+#: Revisions or events of a memory in one exported row.
+PART = 1000
 
-    An entity's history is one record by nature of the export; rows hold only what it shows."""
-    history = revisions.groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct("revision_number", F.col("id").alias("revision_id"), "title", "kind"))).alias("revisions"))
-    states = events.groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct("event_number", "state"))).alias("events"))
+
+def export_nested(memories: DataFrame, revisions: DataFrame, events: DataFrame, part: int = PART) -> DataFrame:
+    """Memories with their revisions and state events as ordered arrays: (memory_id, part, space_id,
+    logical_key, revisions, events).
+
+    Part n holds the numbers from n * ``part``, so that a memory with a long history spreads over
+    rows of bounded size; a memory without history has one row with a null part.
+    """
+    place = lambda number: F.floor(F.col(number) / part).alias("part")
+    history = revisions.groupBy("memory_id", place("revision_number")).agg(
+        F.sort_array(F.collect_list(F.struct("revision_number", F.col("id").alias("revision_id"), "title", "kind"))).alias("revisions")
+    )
+    states = events.groupBy("memory_id", place("event_number")).agg(F.sort_array(F.collect_list(F.struct("event_number", "state"))).alias("events"))
     head = memories.select(F.col("id").alias("memory_id"), "space_id", "logical_key")
-    return head.join(history, "memory_id", "left").join(states, "memory_id", "left")
+    return head.join(history.join(states, ["memory_id", "part"], "full_outer"), "memory_id", "left")
 
 
 def status(memories: DataFrame) -> DataFrame:

@@ -633,12 +633,13 @@ def current_vectors(spark, d):
     return v.join(heads, "id").select("segment_id", "memory_id", "space_id", F.coalesce("confidence", F.lit(-1.0)).alias("confidence"))
 
 
-@query(f"""WITH {_MEM}, {_REV}, {_ST} SELECT m.id AS memory_id, (SELECT string_agg(r.id, ',' ORDER BY r.revision_number, r.id) FROM rev r WHERE r.memory_id = m.id) AS revision_ids,
-(SELECT string_agg(s.state, ',' ORDER BY s.event_number, s.state) FROM st s WHERE s.memory_id = m.id) AS states FROM mem m""")
+@query(f"""WITH {_MEM}, {_REV}, {_ST}, h AS (SELECT memory_id, revision_number // 1000 AS part, string_agg(id, ',' ORDER BY revision_number, id) AS revision_ids FROM rev GROUP BY ALL),
+s AS (SELECT memory_id, event_number // 1000 AS part, string_agg(state, ',' ORDER BY event_number, state) AS states FROM st GROUP BY ALL), b AS (SELECT * FROM h FULL JOIN s USING (memory_id, part))
+SELECT m.id AS memory_id, b.part::BIGINT AS part, revision_ids, states FROM mem m LEFT JOIN b ON b.memory_id = m.id""")
 def export_nested(spark, d):
     out = snapshot.export_nested(memories(spark, d), revisions(spark, d, "memory_id", "revision_number", "title", "kind"), events(spark, d))
     join = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda x: x[f]), ","))
-    return out.select("memory_id", join("revisions", "revision_id").alias("revision_ids"), join("events", "state").alias("states"))
+    return out.select("memory_id", "part", join("revisions", "revision_id").alias("revision_ids"), join("events", "state").alias("states"))
 
 
 @query()
