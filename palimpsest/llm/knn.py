@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from palimpsest.llm import router as learned
+from palimpsest.operators.skew import join_unique
 from palimpsest.session import materialize
 
 #: Vectors a partition should hold; the most partitions of a profile.
@@ -246,7 +247,7 @@ def nearest(
     first = listed.select(F.explode("ids").alias("segment_id"), "near")
     crowded = vectors.filter(F.col("n") > k + 1).select("rid", "profile", "vec", "ids")
     rest = (
-        valid.join(crowded, ["profile", "vec"])
+        join_unique(valid, crowded, ["profile", "vec"])
         .filter(~F.array_contains("ids", F.col("segment_id")))
         .select("segment_id", F.transform(F.slice("ids", 1, k), lambda x: F.struct(F.lit(0.0).alias("d2"), x.alias("neighbour_id"))).alias("near"))
     )

@@ -19,7 +19,7 @@ from palimpsest.session import materialize
 VOCABULARY = os.environ.get("PALIMPSEST_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
 #: Ranges of the random key per source: rows of one source that a task orders are 1/RANGES of it.
-RANGES = 1024
+RANGES = 65536
 
 COUNTED = "doc_id bigint, source string, n_tokens bigint"
 

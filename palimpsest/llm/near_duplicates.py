@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from palimpsest.functions.bloom import might_contain
 from palimpsest.functions.columns import computed_once
+from palimpsest.operators.skew import join_unique
 from palimpsest.session import materialize, release_shuffles
 
 WORDS = r"[\p{L}\p{N}]+"
@@ -170,7 +171,7 @@ class NearDuplicates:
 
     def with_shingles(self) -> DataFrame:
         """(id, did) of every text that has shingles."""
-        return self.members.join(self.sets.select("did", "h1", "h2"), ["h1", "h2"]).select("id", "did")
+        return join_unique(self.members, self.sets.select("did", "h1", "h2"), ["h1", "h2"]).select("id", "did")
 
     def text_pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: every pair of texts, those of equal texts too."""
