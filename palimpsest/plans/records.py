@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions import json_text, text
 from palimpsest.operators import feedback as fb
-from palimpsest.operators import filters, fusion, graph, lexical, mutate, paging, segments, snapshot, temporal, vectors
+from palimpsest.operators import filters, fusion, graph, lexical, models, mutate, paging, segments, shape, snapshot, temporal, vectors
 from palimpsest.plans import search
 from palimpsest.sources.tables import read
 
@@ -507,6 +507,36 @@ def search_hybrid(spark, d):
     return search.search(_tables(spark, d), filters.Candidates(now=NOW), QUERY, vector, profile, 5)
 
 
+@query()
+def excerpts(spark, d):
+    """The best lexical hits with their first field and its neighbours."""
+    r = revisions(spark, d)
+    best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 50, "id")
+    hits = best.withColumn("path", F.regexp_extract("searchable_text", r"(?m)^(\$[^:\n]*):", 1))
+    return shape.with_excerpt(hits, "searchable_text", "path", "searchable_text").select("id", "path", "excerpt")
+
+
+@query()
+def rerank_documents(spark, d):
+    """Scores of the best hits' documents by the stand-in reranker."""
+    r = revisions(spark, d)
+    best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 30, "id").select("id")
+    documents = r.join(best, "id", "left_semi").withColumn("document", shape.rerank_document(F.col("searchable_text")))
+    return models.rerank_scores(documents, QUERY, models.OverlapReranker())
+
+
+@query()
+def compact_output(spark, d):
+    r = revisions(spark, d, "memory_id", "title", "kind", "tags", "confidence", "salience")
+    return r.select("id", shape.compact(["memory_id", "title", "kind", "tags", "confidence", "salience"], r.schema).alias("body"))
+
+
+@query()
+def embed_segments(spark, d):
+    built = segments.build(revisions(spark, d, "searchable_text"), "id", "searchable_text")
+    return models.embed(built, "segment_id", "text", models.HashingEmbedder(64))
+
+
 # -- graph ---------------------------------------------------------------------------------------
 
 LINK_AT = "1998-06-01 00:00:00"
