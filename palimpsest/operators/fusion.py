@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Fixed values of the ranking.
 RRF_K = 60
 EXACT_WEIGHT = 0.1
 TITLE_EQUAL, TITLE_CONTAINS = 0.04, 0.02

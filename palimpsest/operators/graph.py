@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palimpsest.operators.temporal import instant, latest, live_at
 from palimpsest.session import materialize
 
+# The relation of redirects, and the edge budget of a level.
 MERGED = "merged-into"
 LEAST_EDGES, MOST_EDGES = 100, 20_000
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.functions import text
 from palimpsest.functions.columns import computed_once
 
+# Fixed values of BM25.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# Fixed values of the index: characters, then tokens and passes.
 TARGET, MOST, PARAGRAPH = 3200, 4800, 4000
 MAX_TOKENS, PASSES = 1200, 4
 

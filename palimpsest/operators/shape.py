@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Characters of an excerpt, of its head, and of a rerank document.
 EXCERPT, EXCERPT_HEAD, RERANK_DOCUMENT = 2000, 400, 8000
 HEAD_LINES = ("Title: ", "Kind: ", "Tags: ")
 
