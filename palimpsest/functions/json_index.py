@@ -15,6 +15,7 @@ import numpy as np
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", re.ASCII)
 _STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
 _SPACE = re.compile(r"[ \t\n\r]*")
+_TOKEN = re.compile(rf"{_STRING.pattern}|{_NUMBER.pattern}|true|false|null|[{{}}\[\],:]", re.ASCII)
 
 
 def _no_constant(name: str):
@@ -86,6 +87,36 @@ def parse(text: str):
             return False, None
 
 
+def build(text: str):
+    """The value of valid JSON that is nested too deeply for the parser."""
+    root: list = []
+    stack, key, want_key = [root], None, False
+
+    def put(x) -> None:
+        if isinstance(stack[-1], dict):
+            stack[-1][key] = x
+        else:
+            stack[-1].append(x)
+
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if token in ("{", "["):
+            put(x := {} if token == "{" else [])
+            stack.append(x)
+            want_key = token == "{"
+        elif token in ("}", "]"):
+            stack.pop()
+        elif token == ",":
+            want_key = isinstance(stack[-1], dict)
+        elif token == ":":
+            want_key = False
+        elif want_key:
+            key = json.loads(token)
+        else:
+            put(parse(token)[1])
+    return root[0]
+
+
 def record_text(value: str | None) -> str | None:
     """The record in a stored value: itself, or the object or array that a JSON string encodes.
 
@@ -113,11 +144,16 @@ def _clean(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def step(key: str) -> str:
+    """A key as a step of a path."""
+    return key.replace("~", "~0").replace("/", "~1")
+
+
 def _key(raw: bytes) -> str:
     text = raw.decode("utf-8", "surrogatepass")
     if "\\" in text:
         text = json.loads(f'"{text}"')
-    return text.replace("~", "~0").replace("/", "~1")
+    return step(text)
 
 
 def array_objects(records: list[str]) -> list[tuple[int, str, str, int, str]]:

@@ -8,37 +8,61 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from palimpsest.functions.json_index import array_objects, parse, record_text
+from palimpsest.functions.json_index import array_objects, build, parse, record_text, step
 
 #: Characters of records indexed at once; bounds a task's memory, not what is read.
 BATCH_CHARS = 4_000_000
 
-SCHEMA = "table_name string, field string, record_id string, path string, parent_path string, ordinal int, members map<string,string>"
+SCHEMA = "table_name string, field string, record_id string, path string, parent_path string, ordinal int, members map<string,string>, inner map<string,string>"
 LINKS = "table_name string, field string, record_id string, path string, parent_path string"
 
 
-def _members(text: str) -> list[tuple[str, str | None]]:
-    """Scalar members of an object as text; containers have rows or paths of their own."""
+def _utf8(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
+
+
+def _shown(x) -> str | None:
+    return None if x is None else _utf8(x if isinstance(x, str) else json.dumps(x))
+
+
+def _contents(text: str) -> tuple[list[tuple[str, str | None]], list[tuple[str, str | None]]]:
+    """(scalar members, inner values) of an object as text.
+
+    Inner values are the scalars of nested objects and of arrays, and empty containers, under their
+    path relative to the object (``args/x``, ``tags/0``); objects inside arrays have rows of their own.
+    """
     ok, value = parse(text)
+    if ok and value is None:
+        value = build(text)
     if not ok or not isinstance(value, dict):
-        return []
-    out = []
+        return [], []
+    members, inner, stack = [], [], []
     for key, x in value.items():
         if isinstance(x, (dict, list)):
-            continue
-        shown = None if x is None else x if isinstance(x, str) else json.dumps(x)
-        out.append((key.encode("utf-8", "replace").decode(), None if shown is None else shown.encode("utf-8", "replace").decode()))
-    return out
+            stack.append((step(key), x))
+        else:
+            members.append((_utf8(key), _shown(x)))
+    stack.reverse()
+    while stack:
+        at, x = stack.pop()
+        if isinstance(x, dict) and x:
+            stack.extend((f"{at}/{step(k)}", v) for k, v in reversed(x.items()))
+        elif isinstance(x, list) and x:
+            stack.extend((f"{at}/{i}", x[i]) for i in range(len(x) - 1, -1, -1) if not isinstance(x[i], dict))
+        else:
+            inner.append((_utf8(at), _shown(x)))
+    return members, inner
 
 
 def flatten(df: DataFrame, table_name: str, id_column: str, fields: list[str], members: bool = True) -> DataFrame:
     """One row per object found directly inside an array of any of the JSON ``fields``.
 
     Gives table_name, field, record_id, path, parent_path (the nearest enclosing object that is
-    such a row, else ``$``) and, with ``members``, the ordinal in its array and the object's scalar
-    members. Values that are null, empty or no valid JSON give no rows; a value that is a JSON
-    string holding an object or array is that object or array. Redelivered rows (same id) count
-    once, rows with a null id have nothing to link to and give none. Other columns are not read.
+    such a row, else ``$``) and, with ``members``, the ordinal in its array, the object's scalar
+    members and, as ``inner``, the values of its nested objects and arrays by relative path. Values
+    that are null, empty or no valid JSON give no rows; a value that is a JSON string holding an
+    object or array is that object or array. Redelivered rows (same id) count once, rows with a null
+    id have nothing to link to and give none. Other columns are not read.
     """
     narrow = df.select(F.col(id_column).alias("record_id"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(fields)])
     # Only text that can hold an object inside an array is worth moving to Python.
@@ -81,7 +105,8 @@ def flatten(df: DataFrame, table_name: str, id_column: str, fields: list[str], m
             ]
             if members:
                 columns.append(pa.array([n for *_, n, _ in part], pa.int32()))
-                columns.append(pa.array([_members(t) for *_, t in part], pa.map_(pa.string(), pa.string())))
+                contents = [_contents(t) for *_, t in part]
+                columns.extend(pa.array([c[i] for c in contents], pa.map_(pa.string(), pa.string())) for i in range(2))
             yield pa.RecordBatch.from_arrays(columns, names=target.names)
 
     return narrow.mapInArrow(run, target)
@@ -91,10 +116,11 @@ def flat_table(objects: DataFrame, array_path: str, columns: dict[str, str]) ->
     """A typed relation of the objects in one array, e.g. ``$/timeline`` or ``$/rules/*/except``.
 
     ``*`` stands for any one step. ``columns`` maps member names to Spark types; an absent or
-    unreadable member is null. Parent links stay in record_id, path and parent_path.
+    unreadable member is null. Nested values stay in ``inner``, parent links in record_id, path and
+    parent_path.
     """
     pattern = "/".join("[^/]+" if step == "*" else f"\\Q{step}\\E" for step in array_path.split("/")) + "/[0-9]+"
     return objects.filter(F.col("path").rlike(f"^{pattern}$")).select(
         "table_name", "field", "record_id", "path", "parent_path", "ordinal",
-        *[F.try_element_at("members", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()],
+        *[F.try_element_at("members", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()], "inner",
     )

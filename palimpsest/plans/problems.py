@@ -9,6 +9,7 @@ from palimpsest.sources.tables import read
 
 
 def p2_objects(spark: SparkSession, sf_dir: str, members: bool = True) -> DataFrame:
+    """Every JSON object inside an array with all that it holds itself."""
     revisions = nested.flatten(read(spark, sf_dir, "memory_revisions"), "memory_revisions", "id", ["content_json", "metadata_json"], members)
     spaces = nested.flatten(read(spark, sf_dir, "spaces"), "spaces", "id", ["metadata_json"], members)
     return revisions.unionByName(spaces)
@@ -21,7 +22,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_flat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One typed flat table: the steps of every record's ``timeline``."""
-    return nested.flat_table(p2_objects(spark, sf_dir), "$/timeline", {"at": "timestamp", "event": "string"})
+    return nested.flat_table(p2_objects(spark, sf_dir), "$/timeline", {"at": "timestamp", "event": "string", "actors": "string"})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +127,7 @@ SELECT memory_id, CASE WHEN s > -4611686018427387904 THEN s END AS period_from_u
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_objects": p2_objects,
     "p2_flat_timeline": p2_flat_timeline,
     "p3_found": p3_found,
     "p3_periods": p3_periods,

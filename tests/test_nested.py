@@ -95,3 +95,48 @@ def test_operator_edges(spark):
     assert nested.flatten(df.limit(0), "t", "id", ["j"]).count() == 0
     flat = nested.flat_table(nested.flatten(df, "t", "id", ["j"]), "$", {"x": "int", "w": "string"}).collect()
     assert [(r.record_id, r.x, r.w) for r in flat] == [("a", 1, None)]
+
+
+def kept(value, path=""):
+    """Brute force: what an object holds outside the objects of its arrays."""
+    items = value.items() if isinstance(value, dict) else enumerate(value)
+    for k, v in items:
+        at = f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}"
+        if isinstance(v, (dict, list)) and v:
+            if not (isinstance(value, list) and isinstance(v, dict)):
+                yield from kept(v, at)
+        elif not (isinstance(value, list) and isinstance(v, dict)):
+            yield at[1:], v if v is None or isinstance(v, str) else json.dumps(v)
+
+
+def test_nested_objects_and_scalar_arrays_are_kept(spark):
+    text = '[{"x":1,"y":{"z":2,"e":{},"d":{"a/b":"q","n":null}},"tags":["s",true,[3],{"own":{"v":"w"}}],"none":[]}]'
+    df = spark.createDataFrame([("a", text)], "id string, j string")
+    got = {r.path: (r.members, r.inner) for r in nested.flatten(df, "t", "id", ["j"]).collect()}
+    assert got == {
+        "$/0": ({"x": "1"}, {"y/z": "2", "y/e": "{}", "y/d/a~1b": "q", "y/d/n": None, "tags/0": "s", "tags/1": "true", "tags/2/0": "3", "none": "[]"}),
+        "$/0/tags/3": ({}, {"own/v": "w"}),
+    }
+    (row,) = nested.flat_table(nested.flatten(df, "t", "id", ["j"]), "$", {"x": "int"}).collect()
+    assert row.x == 1 and row.inner["y/z"] == "2"
+    deep = '[{"s":1,"k":' + "[" * 20000 + '{"o":[]},"w"' + "]" * 20000 + "}]"
+    members, inner = nested._contents(array_objects([deep])[0][4])
+    assert members == [("s", "1")] and [x for _, x in inner] == ["w"]
+
+
+def test_all_objects_keep_all_they_hold(spark):
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    texts = {("memory_revisions", f, i): t for f in ("content_json", "metadata_json") for i, t in con.execute(f"SELECT id, {f} FROM '{SMALL}/memory_revisions.parquet'").fetchall()}
+    texts |= {("spaces", "metadata_json", i): t for i, t in con.execute(f"SELECT id, metadata_json FROM '{SMALL}/spaces.parquet'").fetchall()}
+    rows = entry.queries()["p2_objects"](spark, SMALL).collect()
+    objects = {k: {(i, p): t for i, p, _, _, t in array_objects([record_text(texts[k])])} for k in {(r.table_name, r.field, r.record_id) for r in rows}}
+    held = 0
+    for r in rows:
+        value = json.loads(objects[r.table_name, r.field, r.record_id][0, r.path])
+        want = dict(kept(value))
+        direct = {k: want[k.replace("~", "~0").replace("/", "~1")] for k, v in value.items() if not isinstance(v, (dict, list))}
+        assert r.members == direct and r.inner == {k: v for k, v in want.items() if k not in {x.replace("~", "~0").replace("/", "~1") for x in direct}}
+        held += bool(r.inner)
+    assert held
