@@ -521,8 +521,7 @@ def rerank_documents(spark, d):
     """Scores of the best hits' documents by the stand-in reranker."""
     r = revisions(spark, d)
     best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 30, "id").select("id")
-    documents = r.join(best, "id", "left_semi").withColumn("document", shape.rerank_document(F.col("searchable_text")))
-    return models.rerank_scores(documents, QUERY, models.OverlapReranker())
+    return search.rerank_scores(r, best, QUERY, models.OverlapReranker())
 
 
 @query()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from palimpsest.operators import filters, fusion, lexical, vectors
+from palimpsest.operators import filters, fusion, lexical, models, segments, shape, vectors
 
 WEIGHTS = {"title": 2.0, "searchable_text": 1.0, "tag_text": 0.5}
+#: Matched segments in a rerank document.
+EVIDENCE_SEGMENTS = 2
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,24 @@ def channels(tables: Tables, wanted: filters.Candidates, query: str, vector: lis
     return found
 
 
+def matched_segments(revisions: DataFrame, hits: DataFrame, query: str, most: int = EVIDENCE_SEGMENTS) -> DataFrame:
+    """(id, matched): the best ``most`` index segments of each of the few ``hits`` (id), best first,
+    by BM25 over the segments of all revisions. A hit without a matching segment has no row."""
+    built = segments.build(revisions, "id", "searchable_text").select(F.col("record_id").alias("id"), "ordinal", "text")
+    scored = lexical.bm25(built, {"text": 1.0}, query).join(F.broadcast(hits.select("id")), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ordinal"))
+    best = scored.withColumn("n", place).filter(F.col("n") <= most)
+    ordered = F.sort_array(F.collect_list(F.struct("n", "text")))
+    return best.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("matched"))
+
+
+def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker) -> DataFrame:
+    """(memory_id, reranker) of the few ``hits`` (id), from what matched in them."""
+    rows = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").join(matched_segments(revisions, hits, query), "id", "left")
+    documents = rows.withColumn("document", shape.rerank_document(F.coalesce("matched", "searchable_text")))
+    return models.rerank_scores(documents, query, reranker)
+
+
 def search(tables: Tables, wanted: filters.Candidates, query: str, vector: list[float] | None = None, profile: str | None = None, k: int = 5, depth: int = 100, mode: str = "auto") -> DataFrame:
     """(memory_id, evidence, fused, ranks, boost, title): the k best memories."""
     if not query.strip():

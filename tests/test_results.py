@@ -7,7 +7,7 @@ from conftest import TINY
 from pyspark.sql import functions as F
 
 from palimpsest.operators import models, shape
-from palimpsest.plans import records
+from palimpsest.plans import records, search
 from palimpsest.streaming import generations
 
 TEXT = "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR\n$/price/basis: each\n$/other: x"
@@ -53,3 +53,17 @@ def test_rerank_scores(spark):
     df = spark.createDataFrame([("a", "red blue"), ("b", None), ("c", "red")], "memory_id string, document string")
     got = {r.memory_id: r.reranker for r in models.rerank_scores(df, "red blue", models.OverlapReranker()).collect()}
     assert got == {"a": 1.0, "b": 0.0, "c": 0.5}
+
+
+LATE = "\n".join(["Title: T", *[f"$/parts/{i}: " + "nothing of note here. " * 40 for i in range(20)], "$/last/rule: the retention plan", "$/last/by: staff"])
+
+
+def test_late_match_reaches_the_reranker(spark):
+    r = records.revisions(spark, TINY).limit(1).withColumns({"id": F.lit("late"), "memory_id": F.lit("m"), "searchable_text": F.lit(LATE)})
+    assert LATE.index("retention") > shape.RERANK_DOCUMENT
+    (hit,) = search.matched_segments(r, r.select("id"), "retention plan").collect()
+    assert "retention plan" in hit.matched and len(hit.matched) < len(LATE)
+    (row,) = search.rerank_scores(r, r.select("id"), "retention plan", models.OverlapReranker()).collect()
+    assert (row.memory_id, row.reranker) == ("m", 1.0)
+    (none,) = search.rerank_scores(r.withColumn("searchable_text", F.lit("x")), r.select("id"), "retention plan", models.OverlapReranker()).collect()
+    assert none.reranker == 0.0
