@@ -509,11 +509,10 @@ def search_hybrid(spark, d):
 
 @query()
 def excerpts(spark, d):
-    """The best lexical hits with their first field and its neighbours."""
+    """The best lexical hits with the field of their best line and its neighbours."""
     r = revisions(spark, d)
     best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 50, "id")
-    hits = best.withColumn("path", F.regexp_extract("searchable_text", r"(?m)^(\$[^:\n]*):", 1))
-    return shape.with_excerpt(hits, "searchable_text", "path", "searchable_text").select("id", "path", "excerpt")
+    return search.excerpts(r, best, QUERY)
 
 
 @query()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from palimpsest.operators import filters, fusion, lexical, models, segments, shape, vectors
 
 WEIGHTS = {"title": 2.0, "searchable_text": 1.0, "tag_text": 0.5}
+#: A line of a searchable text that begins a field, with the field's path.
+FIELD_LINE = r"^(\$(?:/[^:]*)?|metadata/[^:]*|sources/[0-9]+/[^:]*):"
 #: Matched segments in a rerank document.
 EVIDENCE_SEGMENTS = 2
 
@@ -53,6 +55,32 @@ def matched_segments(revisions: DataFrame, hits: DataFrame, query: str, most: in
     return best.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("matched"))
 
 
+def matched_lines(revisions: DataFrame, hits: DataFrame, query: str) -> DataFrame:
+    """(id, path, at, matched): the best line of each of the few ``hits`` (id), by BM25 over the lines
+    of all revisions. ``path`` is that of the field it lies in, empty for head lines; ``at`` is null
+    where the line does not begin the field. Of a line too long for an excerpt ``matched`` is the best part."""
+    lines = revisions.select("id", F.posexplode(F.split("searchable_text", "\n")).alias("position", "line"))
+    whole = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{shape.EXCERPT}}}(?!\S)|.{{1,{shape.EXCERPT}}}"), F.lit(0))
+    parts = lines.select("id", "position", F.posexplode(whole).alias("part", "text"))
+    scored = lexical.bm25(parts, {"text": 1.0}, query).join(F.broadcast(hits.select("id")), "id", "left_semi")
+    few = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", F.split("searchable_text", "\n").alias("_lines"))
+    path = lambda line: F.regexp_extract(line, FIELD_LINE, 1)
+    before = F.filter(F.transform(F.slice("_lines", 1, F.col("position") + 1), path), lambda p: p != "")
+    placed = scored.join(few, "id").withColumns({"path": F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), "line": F.element_at("_lines", F.col("position") + 1)})
+    begins = (F.col("path") != "") & (path(F.col("line")) == F.col("path")) & (F.length("line") <= shape.EXCERPT)
+    placed = placed.withColumn("at", F.when(begins, F.col("path")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("path") == "", F.desc("score"), "position", "part"))
+    return placed.withColumn("n", place).filter("n = 1").select("id", "path", "at", F.col("text").alias("matched"))
+
+
+def excerpts(revisions: DataFrame, hits: DataFrame, query: str) -> DataFrame:
+    """(id, path, excerpt) of the few ``hits`` (id): what surrounds the best line."""
+    texts = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "searchable_text")
+    found = texts.join(matched_lines(revisions, hits, query), "id", "left")
+    shown = found.withColumns({"path": F.coalesce("path", F.lit("")), "at": F.coalesce("at", F.lit("")), "matched": F.coalesce("matched", "searchable_text")})
+    return shape.with_excerpt(shown, "searchable_text", "at", "matched").select("id", "path", "excerpt")
+
+
 def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker) -> DataFrame:
     """(memory_id, reranker) of the few ``hits`` (id), from what matched in them."""
     rows = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").join(matched_segments(revisions, hits, query), "id", "left")

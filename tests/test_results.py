@@ -67,3 +67,14 @@ def test_late_match_reaches_the_reranker(spark):
     assert (row.memory_id, row.reranker) == ("m", 1.0)
     (none,) = search.rerank_scores(r.withColumn("searchable_text", F.lit("x")), r.select("id"), "retention plan", models.OverlapReranker()).collect()
     assert none.reranker == 0.0
+
+
+def test_excerpt_is_round_the_matched_line(spark):
+    long = "$/a: " + "word " * 900 + "retention " + "word " * 900
+    texts = {"late": LATE, "long": f"{long}\n$/b: x", "more": "Title: T\n$/a: one\ntwo retention\n$/b: x", "head": "Title: retention\n$/a: x\n$/b: y", "none": "Title: T\n$/a: x"}
+    r = spark.createDataFrame(list(texts.items()), "id string, searchable_text string")
+    got = {x.id: (x.path, x.excerpt) for x in search.excerpts(r, r.select("id"), "retention").collect()}
+    assert got["late"] == ("$/last/rule", "Title: T\n$/last/rule: the retention plan\n$/last/by: staff")
+    assert {k: v[0] for k, v in got.items()} == {"late": "$/last/rule", "long": "$/a", "more": "$/a", "head": "", "none": ""}
+    assert all("retention" in got[k][1] for k in texts if k != "none") and all(len(x) <= shape.EXCERPT for _, x in got.values())
+    assert got["none"][1] == texts["none"]
