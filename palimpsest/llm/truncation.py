@@ -72,6 +72,20 @@ def _after_record(text: str) -> str | None:
     return text[at:].strip()
 
 
+def _open_array(text: str) -> bool:
+    """Whether a text that begins with ``[`` is a JSON array that the text's end interrupts, and not
+    a bracketed label or prose."""
+    try:
+        json.JSONDecoder(strict=False).raw_decode(text)
+    except json.JSONDecodeError as e:
+        return e.msg.startswith("Unterminated string") or any(w.startswith(text[e.pos :]) for w in ("true", "false", "null", "-"))
+    except ValueError:
+        return False
+    except RecursionError:
+        return True
+    return False
+
+
 def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = frozenset()) -> str:
     """How a text ends. Values that begin with ``cut`` mean that it was cut off.
 
@@ -91,6 +105,8 @@ def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = fro
         if rest is None:
             return "cut: open record"
         return ending(rest, at_limit, prose_labels) if rest else "complete record"
+    if bare[0] == "[" and _open_array(bare):
+        return "cut: open record"
     lines = [x.strip() for x in _QUOTED.sub("", bare).split("\n") if x.strip()]
     if not lines:
         return "almost empty"

@@ -62,3 +62,13 @@ def test_empty_and_rates(spark):
     assert judged(spark, []) == {}
     rates = {r.source: r for r in queries.p9_rates(spark, TINY).collect()}
     assert sum(r.n_truncated for r in rates.values()) == queries.p9_found(spark, TINY).count()
+
+
+@pytest.mark.parametrize("text", ['[{"t":"It was done.', "[[1, 2, 3, 4], [5, 6, 7, 8]", "[\n[1, 2, 3],\n[4, 5, 6]", '[{"amount": 1}, {"amount": 2},', '["It was done.", tr', '[{"a": "b.\nIt was done.'])
+def test_open_arrays_are_cut(text):
+    assert X.ending(text) == "cut: open record"
+
+
+@pytest.mark.parametrize("text", ["[desk, sheet AB-12]", "[1, p. 3] It was done.", "[2024-01-05] It was done.", '["Note"] It was done.', '["Note" of the desk] It was done.', '[{"t":"Done."}]', "[1] It was done."])
+def test_bracketed_labels_and_whole_arrays_are_whole(text):
+    assert not X.ending(text).startswith("cut"), X.ending(text)
