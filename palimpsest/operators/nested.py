@@ -68,7 +68,9 @@ def flatten(df: DataFrame, table_name: str, id_column: str, fields: list[str], m
     # Only text that can hold an object inside an array is worth moving to Python.
     for i in range(len(fields)):
         v = F.col(f"v{i}")
-        narrow = narrow.withColumn(f"v{i}", F.when(v.contains("[") & v.contains("{"), v))
+        # A JSON string may write its brackets as escapes.
+        escaped = v.rlike(r'^[ \t\n\r]*"') & v.rlike(r"(?i)\\u00[57]b")
+        narrow = narrow.withColumn(f"v{i}", F.when((v.contains("[") & v.contains("{")) | escaped, v))
     narrow = narrow.filter(F.col("record_id").isNotNull() & F.coalesce(*[F.col(f"v{i}") for i in range(len(fields))]).isNotNull())
     narrow = narrow.dropDuplicates(["record_id"])
 

@@ -140,3 +140,10 @@ def test_all_objects_keep_all_they_hold(spark):
         assert r.members == direct and r.inner == {k: v for k, v in want.items() if k not in {x.replace("~", "~0").replace("/", "~1") for x in direct}}
         held += bool(r.inner)
     assert held
+
+
+def test_strings_with_escaped_brackets_are_records(spark):
+    texts = {"all": r'"\u007b\u0022a\u0022:\u005b\u007b\u007d\u005d\u007d"', "upper": r' "\u005B\u007B\u007D\u005D"', "half": r'"[\u007b}]"', "text": r'{"a":"\u005b\u007b"}'}
+    df = spark.createDataFrame(list(texts.items()), "id string, j string")
+    got = {(r.record_id, r.path) for r in nested.flatten(df, "t", "id", ["j"], False).collect()}
+    assert got == {("all", "$/a/0"), ("upper", "$/0"), ("half", "$/0")} and all((k, "$/a/0" if k == "all" else "$/0") in got for k, t in texts.items() if brute(t))
