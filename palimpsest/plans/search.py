@@ -1,4 +1,4 @@
-"""The search plan: candidates, three retrieval channels, fusion, boosts, gate and top-k."""
+"""The search plan: candidates, three retrieval channels, fusion, title boost and top-k; what shows a hit."""
 
 from __future__ import annotations
 
