@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
