@@ -1,8 +1,8 @@
 """Continuous periods and gaps of half-open intervals per entity.
 
-Two levels, so that a huge entity is never one task's group: intervals are clipped into time
-shards of about equal row counts and merged per (entity, shard); then only one hull per shard, and
-the runs of shards an interval covers whole, are stitched per entity.
+Two levels at every size, so that a huge entity is never one task's group: intervals are clipped
+into time shards of about equal row counts and merged per (entity, shard); then only one hull per
+shard, and the runs of shards an interval covers whole, are stitched per entity.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions.columns import computed_once
+
 UNBOUNDED_FROM = -(2**62)
 UNBOUNDED_TO = 2**62
 
-#: Rows a time shard should hold, and the most shards (which bounds an entity's second level).
-SHARD_ROWS = 1_000_000
-MAX_SHARDS = 4096
+#: Rows a time shard should hold, and the fewest and most shards (the latter bounds an entity's
+#: second level).
+SHARD_ROWS = 100_000
+MIN_SHARDS, MAX_SHARDS = 8, 4096
 
 
 def normalise(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
@@ -35,73 +38,71 @@ def normalise(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
 
 
 def shard_edges(df: DataFrame, start: str, shard_rows: int, max_shards: int = MAX_SHARDS) -> list[int]:
-    """Inner edges of time shards holding about ``shard_rows`` starts each, from all rows."""
-    micros = df.select(F.unix_micros(F.col(start).cast("timestamp")).cast("double").alias("t")).filter("t IS NOT NULL")
-    rows = micros.count()
-    shards = min(max_shards, math.ceil(rows / shard_rows))
-    if shards < 2:
+    """Inner edges of time shards holding about ``shard_rows`` starts each, from all rows. Without
+    any bounded start there is one shard."""
+    micros = F.unix_micros(F.col(start).cast("timestamp"))
+    # One pass: the finest quantiles there can be, of which as many are kept as the rows ask for.
+    share = ", ".join(f"{i / max_shards}D" for i in range(1, max_shards))
+    starts = df.select(micros.alias("t"))
+    found = starts.agg(F.count("t").alias("n"), F.expr(f"percentile_approx(t, array({share}), {4 * max_shards})").alias("q")).first()
+    if not found["n"]:
         return []
-    found = micros.approxQuantile("t", [i / shards for i in range(1, shards)], min(0.25 / shards, 0.01))
-    return sorted({int(x) for x in found})
+    shards = max(min(MIN_SHARDS, max_shards), min(max_shards, math.ceil(found["n"] / shard_rows)))
+    return sorted({found["q"][i * max_shards // shards - 1] for i in range(1, shards)})
+
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array; the optimizer folds it into one literal."""
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
-def _shard(column: Column, edges: list[int]) -> Column:
-    """Index of the shard that holds the value: the number of edges not after it."""
-    if not edges:
-        return F.lit(0)
-    # A balanced decision tree: log2(shards) comparisons a row, all in generated code.
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column < F.lit(edges[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return tree(0, len(edges))
+def _shard(column: Column, edges: list[int], block: int = 64) -> Column:
+    """Index of the shard that holds the value: the number of edges not after it, found in blocks."""
+    blocks = [edges[i : i + block] for i in range(0, len(edges), block)]
+    not_after = lambda e: e <= column
+    if len(blocks) < 2:
+        return F.size(F.filter(_numbers(edges), not_after))
+    full = F.size(F.filter(_numbers([x[-1] for x in blocks[:-1]]), not_after))
+    return full * block + F.size(F.filter(F.slice(_numbers(edges), full * block + 1, F.lit(block)), not_after))
 
 
 def gaps_and_hulls(intervals: DataFrame, edges: list[int]) -> tuple[DataFrame, DataFrame]:
     """Gaps (entity, gap_from, gap_to, shard) and hulls (entity, low, high) of normalised intervals."""
-    local = Window.partitionBy("entity", "shard").orderBy("s", "e")
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    if not edges:
-        pieces = intervals.select("entity", F.lit(0).alias("shard"), "s", "e")
-    else:
-        low = F.array(*[F.lit(x) for x in [UNBOUNDED_FROM, *edges]])
-        high = F.array(*[F.lit(x) for x in [*edges, UNBOUNDED_TO]])
-        placed = intervals.withColumns({"a": _shard(F.col("s"), edges), "b": _shard(F.col("e") - 1, edges)})
-        whole = F.array(F.struct(F.col("a").alias("shard"), F.col("s").alias("s"), F.col("e").alias("e")))
-        parts = F.array(
-            F.struct(F.col("a").alias("shard"), F.col("s").alias("s"), high[F.col("a")].alias("e")),
-            F.struct(F.col("b").alias("shard"), low[F.col("b")].alias("s"), F.col("e").alias("e")),
-        )
-        pieces = placed.select("entity", F.inline(F.when(F.col("a") == F.col("b"), whole).otherwise(parts)))
-        pieces = pieces.groupBy("entity", "shard", "s").agg(F.max("e").alias("e"))
-    merged = pieces.withColumn("covered_to", F.max("e").over(before))
-    inner = merged.filter(F.col("s") > F.col("covered_to")).select(
-        "entity", "shard", F.col("covered_to").alias("gap_from"), F.col("s").alias("gap_to")
+    low, high = _numbers([UNBOUNDED_FROM, *edges]), _numbers([*edges, UNBOUNDED_TO])
+    placed = computed_once(intervals, {"a": _shard(F.col("s"), edges), "b": _shard(F.col("e") - 1, edges)})
+    part = lambda shard, s, e, run: F.struct(shard.alias("shard"), s.alias("s"), e.alias("e"), run.alias("run"))
+    a, b, none = F.col("a"), F.col("b"), F.lit(-1)
+    first, last = part(a, F.col("s"), high[a], none), part(b, low[b], F.col("e"), none)
+    # An interval that covers shards whole is one run of them, kept in the first.
+    pieces = placed.select(
+        "entity",
+        F.inline(
+            F.when(a == b, F.array(part(a, F.col("s"), F.col("e"), none)))
+            .when(b - a == 1, F.array(first, last))
+            .otherwise(F.array(first, last, part(a + 1, low[a + 1], high[b - 1], b - 1)))
+        ),
     )
-    hulls = pieces.groupBy("entity", "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    if not edges:
-        return inner, hulls.select("entity", F.col("s").alias("low"), F.col("e").alias("high"))
-
-    runs = placed.filter(F.col("b") - F.col("a") >= 2).groupBy("entity", (F.col("a") + 1).alias("first")).agg(F.max(F.col("b") - 1).alias("last"))
-    level = hulls.select("entity", F.col("shard").alias("first"), F.lit(-1).alias("last"), "s", "e", F.lit(True).alias("is_hull")).unionByName(
-        runs.select("entity", "first", "last", low[F.col("first")].alias("s"), high[F.col("last")].alias("e"), F.lit(False).alias("is_hull"))
-    )
-    stitched = Window.partitionBy("entity").orderBy("s", "e")
-    between = (
-        level.withColumn("covered_to", F.max("e").over(stitched.rowsBetween(Window.unboundedPreceding, -1)))
+    pieces = pieces.groupBy("entity", "shard", "s").agg(F.max("e").alias("e"), F.max("run").alias("run"))
+    local = Window.partitionBy("entity", "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    inner = (
+        pieces.withColumn("covered_to", F.max("e").over(local))
         .filter(F.col("s") > F.col("covered_to"))
-        .select("entity", _shard(F.col("covered_to"), edges).alias("shard"), F.col("covered_to").alias("gap_from"), F.col("s").alias("gap_to"))
+        .select("entity", "shard", F.col("covered_to").alias("gap_from"), F.col("s").alias("gap_to"))
+    )
+    hulls = pieces.groupBy("entity", "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("run").alias("run"))
+    by_shard = Window.partitionBy("entity").orderBy("shard")
+    level = hulls.withColumns(
+        {
+            "covered_to": F.max("e").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)),
+            "filled": F.max("run").over(by_shard.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("shard"),
+        }
     )
-    by_shard = Window.partitionBy("entity").orderBy("first", "is_hull").rowsBetween(Window.unboundedPreceding, 0)
-    filled = (
-        level.withColumn("run_to", F.max("last").over(by_shard))
-        .filter(F.col("is_hull") & (F.col("run_to") >= F.col("first")))
-        .select("entity", F.col("first").alias("shard"))
+    between = level.filter(F.col("s") > F.col("covered_to")).select(
+        "entity", _shard(F.col("covered_to"), edges).alias("shard"), F.col("covered_to").alias("gap_from"), F.col("s").alias("gap_to")
     )
-    gaps = inner.join(filled, ["entity", "shard"], "left_anti").select("entity", "shard", "gap_from", "gap_to").unionByName(between)
-    return gaps, level.groupBy("entity").agg(F.min("s").alias("low"), F.max("e").alias("high"))
+    seen = inner.join(level.filter("filled").select("entity", "shard"), ["entity", "shard"], "left_anti")
+    gaps = seen.select("entity", "shard", "gap_from", "gap_to").unionByName(between)
+    return gaps, hulls.groupBy("entity").agg(F.min("s").alias("low"), F.max("e").alias("high"))
 
 
 def find_gaps(df: DataFrame, entity: str, start: str, end: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
