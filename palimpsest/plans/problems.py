@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.operators import intervals, nested, references
@@ -40,28 +42,21 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, spaces = read(spark, sf_dir, "memory_state_events"), read(spark, sf_dir, "spaces")
     # A memory counts as deleted for references after its deletion, a space from its deletion on.
     memory_gone = F.when(F.col("state") == "deleted", F.col("updated_at") + F.expr("INTERVAL 1 MICROSECOND"))
-    memory_targets = references.parents(memories, "created_at", memory_gone)
-    size = lambda df: df.count()  # noqa: E731 - a footer read: it only sizes the filter
-    to_memories = references.references(revisions, "memory_revisions", "memory_id", "recorded_at").unionByName(
-        references.references(events, "memory_state_events", "memory_id", "recorded_at")
+    refs = (
+        references.references(revisions, "memory_revisions", "memory_id", "recorded_at", target="memory")
+        .unionByName(references.references(events, "memory_state_events", "memory_id", "recorded_at", target="memory"))
+        .unionByName(references.references(memories, "memories", "current_revision_id", "updated_at", target="revision"))
+        .unionByName(references.references(memories, "memories", "space_id", "created_at", target="space"))
     )
-    return (
-        references.find_orphans(to_memories, memory_targets, size(memories))
-        .unionByName(
-            references.find_orphans(
-                references.references(memories, "memories", "current_revision_id", "updated_at"),
-                references.parents(revisions, "recorded_at"),
-                size(revisions),
-            )
-        )
-        .unionByName(
-            references.find_orphans(
-                references.references(memories, "memories", "space_id", "created_at"),
-                references.parents(spaces, "created_at", F.col("deleted_at")),
-                size(spaces),
-            )
-        )
+    tables = {"memory": memories, "revision": revisions, "space": spaces}
+    keys = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("target"), F.col("id").alias("key")) for name, df in tables.items()])
+    targets = (
+        references.parents(memories, "created_at", memory_gone, target="memory")
+        .unionByName(references.parents(revisions, "recorded_at", target="revision"))
+        .unionByName(references.parents(spaces, "created_at", F.col("deleted_at"), target="space"))
     )
+    size = sum(df.count() for df in tables.values())  # footers: it only sizes the filter
+    return references.find_orphans(refs, targets, size, keys=keys)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
