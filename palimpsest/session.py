@@ -41,19 +41,26 @@ def build_session(app: str = "palimpsest", cpus: int | str = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in local tests, a temporary folder is made.
+    Only where it is unset in a session of one machine, as in tests, a temporary folder is made; a
+    cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Drops the shuffle files of a query when it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
+    """Write ``df`` to the shared folder and read it back: lineage and shuffle files end there.
 
     The files survive the loss of any executor and are removed when the driver ends.
     """
@@ -61,7 +68,12 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
@@ -77,10 +89,3 @@ def _clean() -> None:
         except Exception:  # noqa: BLE001 - the session may be gone already
             return
 
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of plans no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
