@@ -19,11 +19,18 @@ from palimpsest.llm import router as learned
 from palimpsest.operators.skew import join_unique
 from palimpsest.session import materialize
 
-#: Vectors a partition should hold; the most partitions of a profile.
+#: Vectors a partition should hold; the fewest (of a profile that has PART_LEAST vectors for each)
+#: and the most partitions of a profile.
 PART_ROWS = 2048
+MIN_PARTS, PART_LEAST = 4, 64
 MAX_PARTS = 512
 
-#: The documented bound of the training sample: rows per partition, and in all, per profile.
+#: A partition of over SPLIT times PART_ROWS vectors is partitioned again, by a router of its own,
+#: into MAX_SUBPARTS at most.
+SPLIT = 4
+MAX_SUBPARTS = 64
+
+#: The documented bound of the training sample: rows per partition, and in all, per router.
 SAMPLE_PER_PART = 256
 MAX_SAMPLE = 60_000
 
@@ -84,7 +91,7 @@ def distinct_vectors(valid: DataFrame, k: int) -> DataFrame:
 def train(vectors: DataFrame, part_rows: int, max_parts: int, dim: int) -> dict[str, learned.Router]:
     """Routers of the profiles that need more than one partition, by profile."""
     counts = {r["profile"]: r["count"] for r in vectors.groupBy("profile").count().collect()}
-    parts = {p: min(max_parts, math.ceil(n / part_rows)) for p, n in counts.items()}
+    parts = {p: min(max_parts, max(math.ceil(n / part_rows), MIN_PARTS if n >= MIN_PARTS * PART_LEAST else 1)) for p, n in counts.items()}
     large = {p: m for p, m in parts.items() if m > 1}
     if not large:
         return {}
@@ -150,32 +157,98 @@ def route(vectors: DataFrame, routers: dict[str, learned.Router], probes: int, m
     return vectors.select("rid", "profile", "vec").mapInArrow(run, target)
 
 
+def split_large(routed: DataFrame, probes: int, mass: float, part_rows: int, max_parts: int, dim: int) -> DataFrame:
+    """``routed`` with partitions of over SPLIT * ``part_rows`` vectors partitioned again.
+
+    Each has a router of its own, learned from its own bounded sample; there are at most as many as
+    partitions. New partitions are numbered after the old ones.
+    """
+    counts = routed.filter("base").groupBy("profile", "part").agg(F.count(F.lit(1)).alias("n"))
+    large = {(r["profile"], r["part"]): min(MAX_SUBPARTS, math.ceil(r["n"] / part_rows)) for r in counts.filter(F.col("n") > SPLIT * part_rows).collect()}
+    if not large:
+        return routed
+    spark = routed.sparkSession
+    listed = spark.createDataFrame([(p, i, m) for (p, i), m in large.items()], "profile string, part int, m int")
+    sizes = listed.join(counts, ["profile", "part"]).select("profile", "part", F.least(F.col("m") * SAMPLE_PER_PART, F.col("n")).alias("size"), "n")
+    h = F.xxhash64(F.lit(2), "vec").cast("double") / float(2**64) + 0.5
+    rank = F.row_number().over(Window.partitionBy("profile", "part").orderBy(F.xxhash64("vec"), "rid"))
+    near = routed.filter("base").join(F.broadcast(sizes), ["profile", "part"]).filter(h <= 1.5 * F.col("size") / F.col("n") + 1e-3)
+    sample = near.withColumn("r", rank).filter(F.col("r") <= F.col("size")).select("profile", "part", "vec")
+
+    def one_part(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        key = (keys[0].as_py(), keys[1].as_py())
+        x = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+        return pa.table({"profile": [key[0]], "part": pa.array([key[1]], pa.int32()), "model": pa.array([learned.fit(x, large[key]).dump()], pa.binary())})
+
+    fitted = sample.groupBy("profile", "part").applyInArrow(one_part, "profile string, part int, model binary").collect()
+    shared = spark.sparkContext.broadcast({(r["profile"], r["part"]): bytes(r["model"]) for r in fitted})
+    target = T._parse_datatype_string(ROUTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[tuple[str, int], learned.Router] = {}
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            by_key: dict[tuple[str, int], list[int]] = {}
+            for i, key in enumerate(keys):
+                by_key.setdefault(key, []).append(i)
+            for key, rows in by_key.items():
+                own = batch.take(pa.array(rows))
+                if key not in models:
+                    models[key] = learned.Router.load(shared.value[key])
+                x = np.frombuffer(b"".join(own.column(4).to_pylist()), dtype=np.float32).reshape(-1, dim)
+                to = learned.routes(models[key], x, probes, mass)
+                base = own.column(2).to_numpy(zero_copy_only=False)
+                for column in range(to.shape[1]):
+                    there = np.flatnonzero(to[:, column] >= 0)
+                    take = pa.array(there)
+                    number = key[1] + (to[there, column].astype(np.int32) + 1) * max_parts
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column(0).take(take), pa.array(number, pa.int32()), pa.array(base[there] & (column == 0), pa.bool_()), own.column(3).take(take), own.column(4).take(take)],
+                        names=target.names,
+                    )
+
+    which = F.broadcast(listed.select("profile", "part"))
+    again = routed.join(which, ["profile", "part"], "left_semi").select("profile", "part", "base", "rid", "vec").mapInArrow(run, target)
+    return materialize(routed.join(which, ["profile", "part"], "left_anti").select(*target.names).unionByName(again), "resplit")
+
+
 PAIRS = "rid bigint, near bigint, d2 double"
 
 
 def nearest_in_block(stored_ids: np.ndarray, stored: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, id of a near vector, squared distance) of the k nearest stored vectors of each row.
 
-    Single precision picks the candidates, double precision ranks them; ties go by id.
+    Products of centred vectors pick a shortlist, differences rank it; where the products' rounding
+    could have kept a neighbour out, the row is compared with all. Ties go by id.
     """
     n = len(stored)
     keep = min(n, 2 * k + 6)
-    norms = (stored.astype(np.float64) ** 2).sum(1).astype(np.float32)
     wide = stored.astype(np.float64)
+    centre = wide.mean(0)
+    moved = wide - centre
+    norms = (moved**2).sum(1)
     out_i, out_j, out_d = [], [], []
-    for low in range(0, len(x), 512):
-        part, own = x[low : low + 512], ids[low : low + 512]
-        d = norms[None, :] - 2.0 * (part @ stored.T)
-        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(part), 1))
-        exact = ((wide[near] - part[:, None, :].astype(np.float64)) ** 2).sum(2)
-        near_id = stored_ids[near]
+
+    def ranked(exact: np.ndarray, near_id: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         exact[near_id == own[:, None]] = np.inf
         order = np.lexsort((near_id, exact), axis=1)[:, :k]
-        chosen = np.take_along_axis(exact, order, 1)
+        return np.take_along_axis(near_id, order, 1), np.take_along_axis(exact, order, 1)
+
+    for low in range(0, len(x), 512):
+        part, own = x[low : low + 512].astype(np.float64), ids[low : low + 512]
+        q = part - centre
+        d = norms[None, :] - 2.0 * (q @ moved.T)
+        near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(part), 1))
+        near_id, chosen = ranked(((wide[near] - part[:, None, :]) ** 2).sum(2), stored_ids[near], own)
+        if keep < n:
+            size = (q**2).sum(1)
+            reach = np.take_along_axis(d, near, 1).max(1) + size - 1e-12 * (size + norms.max())
+            for i in np.flatnonzero(~(chosen[:, -1] < reach)):
+                near_id[i : i + 1], chosen[i : i + 1] = ranked(((wide - part[i]) ** 2).sum(1)[None, :], stored_ids[None, :].copy(), own[i : i + 1])
         good = np.isfinite(chosen)
         rows = np.nonzero(good)[0]
         out_i.append(own[rows])
-        out_j.append(np.take_along_axis(near_id, order, 1)[good])
+        out_j.append(near_id[good])
         out_d.append(chosen[good])
     if not out_i:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -188,7 +261,7 @@ def compare(routed: DataFrame, k: int, dim: int, block: int) -> DataFrame:
     # Stored rows in blocks, looked-for rows in blocks, each pair of blocks one group: however
     # large a partition grows, a task holds at most two blocks.
     sizes = sizes.select("profile", "part", F.ceil(F.col("stored") / block).cast("int").alias("nb"), F.ceil(F.col("looked") / block).cast("int").alias("nq")).filter("nb > 0")
-    placed = routed.join(F.broadcast(sizes), ["profile", "part"])  # MAX_PARTS rows a profile
+    placed = routed.join(F.broadcast(sizes), ["profile", "part"])  # at most MAX_PARTS * (MAX_SUBPARTS + 1) rows a profile
     as_query = placed.select(
         "profile", "part", "rid", "vec", F.lit(False).alias("is_stored"),
         F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("rid"), "nq").cast("int").alias("q"),
@@ -232,6 +305,7 @@ def nearest(
     vectors = materialize(distinct_vectors(valid, k), "distinct")
     routers = train(vectors, part_rows, max_parts, dim)
     routed = materialize(route(vectors, routers, probes, mass, dim), "routed")
+    routed = split_large(routed, probes, mass, part_rows, max_parts, dim)
     found = compare(routed, k, dim, block)
     order = Window.partitionBy("rid").orderBy("d2", "near")
     best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("rid", "near", "d2")
@@ -266,43 +340,45 @@ def pairs(near: DataFrame) -> DataFrame:
 
 def brute_force(df: DataFrame, k: int = 5, dim: int = 64, one_in: int = 100, queries_at_once: int = 20_000) -> DataFrame:
     """Exact (segment_id, neighbour_id) of the stated query set, every segment whose hash is
-    divisible by ``one_in``, against all rows, in blocks of queries."""
+    divisible by ``one_in``, against all rows, a bounded block of queries at a time: plain sums of
+    squared differences in double precision."""
     valid = materialize(valid_vectors(df, dim), "exact")
     chosen = valid.filter(F.pmod(F.xxhash64("segment_id"), F.lit(one_in)) == 0)
     blocks = max(1, math.ceil(chosen.count() / queries_at_once))
+    order = Window.partitionBy("segment_id").orderBy("d2", "neighbour_id")
     found = None
     for block in range(blocks):
         part = chosen if blocks == 1 else chosen.filter(F.pmod(F.xxhash64("segment_id", F.lit(7)), F.lit(blocks)) == block)
-        rows = part.select("segment_id", "profile", "vec").collect()
-        queries: dict[str, tuple[list[str], np.ndarray]] = {}
-        for profile in {r["profile"] for r in rows}:
-            own = [r for r in rows if r["profile"] == profile]
-            queries[profile] = ([r["segment_id"] for r in own], np.frombuffer(b"".join(bytes(r["vec"]) for r in own), dtype=np.float32).reshape(-1, dim))
+        queries: dict[str, list[tuple[str, np.ndarray]]] = {}
+        for r in part.select("segment_id", "profile", "vec").collect():
+            queries.setdefault(r["profile"], []).append((r["segment_id"], np.frombuffer(bytes(r["vec"]), dtype=np.float32).astype(np.float64)))
         shared = df.sparkSession.sparkContext.broadcast(queries)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 profiles = np.array(batch.column(1).to_pylist(), dtype=object)
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, dim)
-                for profile, (own, q) in shared.value.items():
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
+                own, near, far = [], [], []
+                for profile, asked in shared.value.items():
                     rows = np.flatnonzero(profiles == profile)
-                    if not len(rows):
-                        continue
-                    rows = rows[np.argsort(names[rows], kind="stable")]
-                    number = {s: i for i, s in enumerate(names[rows])}
-                    mine = np.array([number.get(s, -1 - i) for i, s in enumerate(own)], dtype=np.int64)
-                    i, j, d = nearest_in_block(np.arange(len(rows)), x[rows], mine, q, k)
-                    back = {int(m): s for m, s in zip(mine, own)}
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([back[int(m)] for m in i], pa.string()), pa.array(names[rows][j], pa.string()), pa.array(d, pa.float64())],
-                        names=["segment_id", "neighbour_id", "d2"],
-                    )
+                    sub, known = x[rows], names[rows]
+                    for name, q in asked:
+                        apart = sub - q
+                        d = np.einsum("ij,ij->i", apart, apart)
+                        d[known == name] = np.inf
+                        worst = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                        for i in np.flatnonzero((d <= worst) & np.isfinite(d)):
+                            own.append(name)
+                            near.append(known[i])
+                            far.append(d[i])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(near, pa.string()), pa.array(far, pa.float64())], names=["segment_id", "neighbour_id", "d2"])
 
         near = valid.select("segment_id", "profile", "vec").mapInArrow(run, "segment_id string, neighbour_id string, d2 double")
-        found = near if found is None else found.unionByName(near)
-    order = Window.partitionBy("segment_id").orderBy("d2", "neighbour_id")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("segment_id", "neighbour_id")
+        best = materialize(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("segment_id", "neighbour_id"), "truth")
+        shared.unpersist()
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def recall(df: DataFrame, near: DataFrame, k: int = 5, dim: int = 64, one_in: int = 100) -> DataFrame:

@@ -87,3 +87,34 @@ def test_router_survives_storage():
     r = router.fit(x, 4)
     again = router.Router.load(r.dump())
     assert np.array_equal(router.routes(r, x, 3, 0.99), router.routes(again, x, 3, 0.99))
+
+
+@pytest.mark.parametrize("offset", [0.0, 100.0, 300.0])
+def test_vectors_far_from_the_origin(offset):
+    x = (offset + np.random.default_rng(3).normal(scale=0.05, size=(1000, 64))).astype(np.float32)
+    ids = np.arange(len(x))
+    i, j, _ = knn.nearest_in_block(ids, x, ids, x, 5)
+    wide = x.astype(np.float64)
+    for row in range(0, 1000, 97):
+        d = ((wide - wide[row]) ** 2).sum(1)
+        d[row] = np.inf
+        assert set(j[i == row]) == set(np.lexsort((ids, d))[:5])
+
+
+def test_a_tight_cluster_is_compared_whole():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(50, 64)) * 1e4, 1.0 + 1e-6 * rng.normal(size=(60, 64))]).astype(np.float32)
+    ids = np.arange(len(x))
+    i, j, _ = knn.nearest_in_block(ids, x, ids, x, 5)
+    wide = x.astype(np.float64)
+    for row in range(50, 110, 7):
+        d = ((wide - wide[row]) ** 2).sum(1)
+        d[row] = np.inf
+        assert set(j[i == row]) == set(np.lexsort((ids, d))[:5])
+
+
+def test_large_partitions_are_partitioned_again(spark):
+    rows = vectors(2400, 6)
+    want = brute(rows)
+    got = found(knn.nearest(frame(spark, rows), part_rows=60, max_parts=3))
+    assert len(got & want) / len(want) > 0.9
