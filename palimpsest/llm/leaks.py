@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from palimpsest.functions.bloom import might_contain
 from palimpsest.llm.words import normal_words, word_spans
+from palimpsest.session import materialize
 
 N = 13
 
@@ -25,6 +27,7 @@ MAX_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 HITS = "doc_id bigint, item_id bigint, n_windows int, first_word int, last_word int"
+SPANS = "doc_id bigint, low int, high int"
 CLEAN = "doc_id bigint, n_spans int, removed_chars int, text string"
 
 
@@ -137,50 +140,77 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = N, max_words: in
     return found.dropDuplicates(["doc_id", "item_id"])
 
 
+def leaked_spans(documents: DataFrame, items: DataFrame, n: int = N, max_words: int = MAX_WORDS) -> DataFrame:
+    """(doc_id, low, high): word ranges of the verified windows, merged within a document and pass.
+
+    Every pass scans with a broadcast of its own, so that no task holds more than one.
+    """
+    docs = _documents(documents)
+    target = T._parse_datatype_string(SPANS)
+    found = None
+    for grams in _passes(_items(items), n, max_words):
+        shared = documents.sparkSession.sparkContext.broadcast(grams)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                spans = defaultdict(list)
+                for doc, at, size, _ in shared.value.scan(batch.column(1).to_pylist()):
+                    spans[doc].append((at, at + size))
+                rows = [(ids[doc], low, high) for doc, own in spans.items() for low, high in merged(own)]
+                yield pa.RecordBatch.from_pylist([dict(zip(target.names, r)) for r in rows], schema=_arrow(target))
+
+        part = docs.mapInArrow(run, target)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def remove_leaks(documents: DataFrame, items: DataFrame, n: int = N, max_words: int = MAX_WORDS) -> DataFrame:
     """Leaking documents with the leaked spans cut out: (doc_id, n_spans, removed_chars, text).
 
     Text is null, to drop the document, where offsets cannot be told after normalisation or where
-    no word is left. Documents without leaks are not repeated here.
+    no word is left. Documents without leaks are not repeated here: they stay as they are.
     """
-    docs = _documents(documents)
-    leaks = find_leaks(documents, items, n, max_words).select("doc_id").distinct()
-    hit = docs.join(leaks, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    spans = materialize(leaked_spans(documents, items, n, max_words), "spans")
+    # A document has at most as many spans as words.
+    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    leaking = might_contain(spans, "doc_id", "doc_id", max(1, spans.count()))
+    hit = _documents(documents).filter(leaking).dropDuplicates(["doc_id"]).join(spans, "doc_id")
     target = T._parse_datatype_string(CLEAN)
-    every = [documents.sparkSession.sparkContext.broadcast(g) for g in _passes(_items(items), n, max_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            spans = defaultdict(list)
-            for shared in every:
-                for doc, at, size, _ in shared.value.scan(texts):
-                    spans[doc].append((at, at + size))
-            rows = [(ids[doc], *cut_spans(texts[doc], found)) for doc, found in spans.items()]
+            rows = [(doc, *cut_spans(text, [(x["low"], x["high"]) for x in own])) for doc, text, own in zip(*[batch.column(i).to_pylist() for i in range(3)])]
             yield pa.RecordBatch.from_pylist([dict(zip(target.names, r)) for r in rows], schema=_arrow(target))
 
-    return hit.mapInArrow(run, target)
+    return hit.select("doc_id", "text", "spans").mapInArrow(run, target)
 
 
-def cut_spans(text: str, found: list[tuple[int, int]]) -> tuple[int, int, str | None]:
-    """(spans, characters removed, text without the word ranges ``found`` or None)."""
-    merged: list[list[int]] = []
+def merged(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    out: list[list[int]] = []
     for low, high in sorted(found):
-        if merged and low <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], high)
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
         else:
-            merged.append([low, high])
+            out.append([low, high])
+    return out
+
+
+def cut_spans(text: str, found: list[tuple[int, int]]) -> tuple[int, int, str | None]:
+    """(spans, characters removed, text without the word ranges ``found`` or None)."""
+    ranges = merged(found)
     words = word_spans(text)
     if words is None:
-        return len(merged), len(text), None
+        return len(ranges), len(text), None
     kept, at = [], 0
-    for low, high in merged:
+    for low, high in ranges:
         kept.append(text[at : words[low][1]])
         at = words[high - 1][2]
     rest = "".join(kept) + text[at:]
     if not normal_words(rest):
-        return len(merged), len(text), None
-    return len(merged), len(text) - len(rest), rest
+        return len(ranges), len(text), None
+    return len(ranges), len(text) - len(rest), rest
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
