@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from palimpsest.session import materialize
 
-#: Vocabulary file of a public tokenizer, read where it lies.
+#: Vocabulary file of a public tokenizer, where the driver finds it.
 VOCABULARY = os.environ.get("PALIMPSEST_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
 #: Ranges of the random key per source: rows of one source that a task orders are 1/RANGES of it.
@@ -29,12 +29,16 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull())
     target = T._parse_datatype_string(COUNTED)
+    # The driver hands the file to every executor.
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer = Tokenizer.from_file(SparkFiles.get(name))
         tokenizer.encode_special_tokens = True
         for batch in batches:
             texts = batch.column(2).to_pylist()

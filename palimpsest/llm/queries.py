@@ -11,8 +11,10 @@ from palimpsest.sources.tables import read
 
 
 def _limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
-    """Limits per field: a handful of rows, one per column of the split table."""
-    return {r["field"]: (r["max_chars"], r["overlap_chars"]) for r in read(spark, sf_dir, "split_limits").limit(100).collect()}
+    """Limits per field: one row per column of the split table at most."""
+    columns = read(spark, sf_dir, "memory_revisions").columns
+    limits = read(spark, sf_dir, "split_limits").filter(F.col("field").isin(columns)).groupBy("field").agg(F.min("max_chars").alias("m"), F.min("overlap_chars").alias("o"))
+    return {r["field"]: (r["m"], r["o"]) for r in limits.collect()}
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaking documents with the leaked passages cut out."""
+    """Leaking documents with the leaked passages cut out; text is null where a document is dropped."""
     return leaks.remove_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
