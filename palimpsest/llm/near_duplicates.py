@@ -21,20 +21,22 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from palimpsest.functions.bloom import might_contain
 from palimpsest.functions.columns import computed_once
 from palimpsest.operators.skew import join_unique
-from palimpsest.session import materialize, release_shuffles
+from palimpsest.session import materialize
 
 WORDS = r"[\p{L}\p{N}]+"
 
-#: Hashes of a union sketch, and how many of them two texts at the threshold share at the least.
-#: With 24 and 6, a pair at similarity 0.7 is lost once in a million.
-SKETCH = 24
-SKETCH_LOSS = 2e-6
+#: Hashes of a union sketch, and the share of pairs at the threshold that it may drop.
+SKETCH = 32
+SKETCH_LOSS = 1e-9
 
 #: Shingles whose document frequency is broadcast, at most (9 bytes each); all others count as
 #: rare. The bound moves only the order, never what is found.
 MAX_FREQUENT = 2_000_000
 LEAST_FREQUENT = 8
 
+#: Rows of a list, or texts of a class, that meet at once; longer ones meet in pairs of blocks.
+BLOCK = 1024
+
 
 def shingles(text: F.Column, width: int) -> F.Column:
     """Sorted distinct hashes of the runs of ``width`` words of the lower-cased text."""
@@ -76,31 +78,35 @@ class NearDuplicates:
         self.sets = materialize(one, "sets")
         self._pairs: DataFrame | None = None
 
-    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Sorted hashes of frequent shingles and their classes, log2 of the document frequency,
-        counted over all texts; at most MAX_FREQUENT, the most frequent classes."""
+        counted over all texts; at most MAX_FREQUENT, the most frequent classes; and the class
+        that all others count as, no lower than any of theirs."""
         counts = self.sets.select(F.explode("sh").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
         frequent = counts.filter(F.col("df") >= LEAST_FREQUENT).select("h", F.floor(F.log2("df")).cast("int").alias("c"))
         frequent = materialize(frequent, "frequent")
         left, lowest = MAX_FREQUENT, 64
         for row in frequent.groupBy("c").count().orderBy(F.desc("c")).collect():
             if row["count"] > left:
+                rest = row["c"]
                 break
             left, lowest = left - row["count"], row["c"]
+        else:
+            rest = LEAST_FREQUENT.bit_length() - 2
         found = frequent.filter(F.col("c") >= lowest).toArrow()
         h, c = found["h"].to_numpy(), found["c"].to_numpy().astype(np.uint8)
         order = np.argsort(h)
-        return h[order], c[order]
+        return h[order], c[order], rest
 
     def retained(self) -> DataFrame:
-        """(h, did, n, small): the retained values; ``small`` marks those that suffice for a pair's
-        smaller text, as the larger one retains more."""
+        """(h, did, n, small, c): the retained values with their classes; ``small`` marks those that
+        suffice for a pair's smaller text, as the larger one retains more."""
         shared = self.spark.sparkContext.broadcast(self._frequent())
         p, q = self.threshold.numerator, self.threshold.denominator
-        target = T._parse_datatype_string("h bigint, did bigint, n int, small boolean")
+        target = T._parse_datatype_string("h bigint, did bigint, n int, small boolean, c int")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            frequent, classes = shared.value
+            frequent, classes, rest = shared.value
             for whole in batches:
                 for low in range(0, whole.num_rows, 2000):
                     batch = whole.slice(low, 2000)
@@ -108,10 +114,10 @@ class NearDuplicates:
                     h = column.flatten().to_numpy(zero_copy_only=False)
                     n = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                     row = np.repeat(np.arange(len(n)), n)
-                    order_class = np.zeros(len(h), dtype=np.uint8)
+                    order_class = np.full(len(h), rest, dtype=np.uint8)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                        order_class = np.where(frequent[at] == h, classes[at], 0).astype(np.uint8)
+                        order_class = np.where(frequent[at] == h, classes[at], rest).astype(np.uint8)
                     order = np.lexsort((h, order_class, row))
                     position = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                     keep = n - (p * n + q - 1) // q + 1
@@ -124,24 +130,43 @@ class NearDuplicates:
                             pa.array(batch.column(0).to_numpy(zero_copy_only=False)[rows]),
                             pa.array(n[rows].astype(np.int32)),
                             pa.array(position[kept] < enough[rows]),
+                            pa.array(order_class[order][kept].astype(np.int32)),
                         ],
                         names=target.names,
                     )
 
         return self.sets.select("did", "n", "sh").mapInArrow(run, target)
 
+    def met(self) -> DataFrame:
+        """(a, b): did of the pairs that share a retained value, the smaller text first, each once.
+
+        A value of class c has fewer than 2^(c+1) texts; lists that may be longer than BLOCK meet
+        in pairs of blocks, each a key of its own."""
+        p, q = self.threshold.numerator, self.threshold.denominator
+        kept = materialize(self.retained(), "retained")
+        longest = BLOCK.bit_length() - 2
+        left = lambda df: df.withColumnsRenamed({"did": "a", "n": "na", "small": "sa"})
+        right = lambda df: df.withColumnsRenamed({"did": "b", "n": "nb", "small": "sb"})
+        ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        # Written so that it is not pushed below the exchange, which then serves both sides.
+        suffices = F.col("sa") | (F.col("na") + F.col("nb") < 0)
+        fits = ordered & suffices & (F.col("na") * q >= F.col("nb") * p)
+        short = kept.filter(F.col("c") <= longest).select("h", "did", "n", "small")
+        pairs = left(short).join(right(short), "h").filter(fits).select("a", "b")
+        long = kept.filter(F.col("c") > longest).withColumn("blocks", F.ceil(F.pow(F.lit(2.0), F.col("c") + 1) / BLOCK).cast("int"))
+        long = long.withColumn("own", F.pmod(F.xxhash64("did"), "blocks").cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        split = left(long.select("h", "did", "n", "small", F.col("own").alias("i"), every.alias("j"))).join(
+            right(long.select("h", "did", "n", "small", F.col("own").alias("j"), every.alias("i"))), ["h", "i", "j"]
+        )
+        return materialize(pairs.unionByName(split.filter(fits).select("a", "b")).distinct(), "met")
+
     def pairs(self) -> DataFrame:
         """(a, b): did of the pairs of different classes at or over the threshold, each once."""
         if self._pairs is not None:
             return self._pairs
         p, q = self.threshold.numerator, self.threshold.denominator
-        kept = self.retained()
-        small = kept.filter("small").select("h", F.col("did").alias("a"), F.col("n").alias("na"))
-        large = kept.select("h", F.col("did").alias("b"), F.col("n").alias("nb"))
-        ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        long_enough = F.col("na") * q >= F.col("nb") * p
-        met = materialize(small.join(large, "h").filter(ordered & long_enough).select("a", "b").distinct(), "met")
-        release_shuffles(self.spark)
+        met = self.met()
 
         # Union sketch: of the SKETCH lowest hashes of the union, those in both sketches. Half the
         # bits of a hash serve, the order and the count stay the same.
@@ -155,7 +180,6 @@ class NearDuplicates:
         # Small unions are known whole, so their share is exact.
         least = F.when(F.size("u") < SKETCH, F.size("u") * float(self.threshold) - 1e-6).otherwise(F.lit(_least_shared(self.threshold)))
         likely = materialize(both.filter(shared >= least).select("a", "b"), "likely")
-        release_shuffles(self.spark)
 
         # Only the sets that are asked for travel to the verification.
         ids = likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct()
@@ -166,39 +190,50 @@ class NearDuplicates:
         common = F.size(F.array_intersect("sa", "sb"))
         sure = joined.withColumn("o", common).filter(F.col("o") * q >= (F.col("na") + F.col("nb") - F.col("o")) * p)
         self._pairs = materialize(sure.select("a", "b"), "pairs")
-        release_shuffles(self.spark)
         return self._pairs
 
-    def with_shingles(self) -> DataFrame:
-        """(id, did) of every text that has shingles."""
-        return join_unique(self.members, self.sets.select("did", "h1", "h2"), ["h1", "h2"]).select("id", "did")
+    def _classes(self) -> DataFrame:
+        """(did, h1, h2, size): one row per class with shingles and the number of its texts."""
+        sizes = self.members.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"))
+        return self.sets.select("did", "h1", "h2").join(sizes, ["h1", "h2"])
 
     def text_pairs(self) -> DataFrame:
-        """(id_a, id_b), id_a < id_b: every pair of texts, those of equal texts too."""
-        member = self.with_shingles()
+        """(id_a, id_b), id_a < id_b: every pair of texts, those of equal texts too.
+
+        Large classes meet in pairs of blocks, so that no key gives more than BLOCK x BLOCK rows."""
+        classes = self._classes().withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        member = join_unique(self.members, classes, ["h1", "h2"]).select("did", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        member = materialize(member, "texts")
         # Classes of one text have no pair of their own.
-        several = member.groupBy("did").count().filter("count > 1").select("did")
-        own = several.select(F.col("did").alias("a"), F.col("did").alias("b"))
-        links = self.pairs().unionByName(own)
-        left = member.select(F.col("did").alias("a"), F.col("id").alias("x"))
-        right = member.select(F.col("did").alias("b"), F.col("id").alias("y"))
-        out = links.join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+        own = classes.filter("size > 1").select(F.col("did").alias("a"), F.col("did").alias("b"))
+        blocks = classes.select("did", "blocks")
+        links = (
+            self.pairs().unionByName(own)
+            .join(blocks.withColumnsRenamed({"did": "a", "blocks": "na"}), "a")
+            .join(blocks.withColumnsRenamed({"did": "b", "blocks": "nb"}), "b")
+            .select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "nb")
+            .select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+            .filter("a <> b OR i <= j")
+        )
+        links = materialize(links, "links")
+        left = links.join(member.select(F.col("did").alias("a"), F.col("block").alias("i"), F.col("id").alias("x")), ["a", "i"])
+        right = links.join(member.select(F.col("did").alias("b"), F.col("block").alias("j"), F.col("id").alias("y")), ["b", "j"])
+        out = left.join(right, ["a", "b", "i", "j"]).filter((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
         return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
         """(id, group_id, n_links): every text that has a near copy, its group's smallest id, and
         the number of other classes its class is linked to. Linked texts share a group."""
-        member = self.with_shingles()
         pairs = self.pairs()
-        labels = connected_components(pairs)
+        labels = connected_components(pairs).withColumnRenamed("node", "did")
         ends = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).groupBy("did").agg(F.count(F.lit(1)).alias("n_links"))
-        labelled = (
-            member.join(labels.withColumnRenamed("node", "did"), "did", "left")
-            .join(ends, "did", "left")
-            .select("id", F.coalesce("label", "did").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        known = (
+            self.sets.select("did", "h1", "h2").join(labels, "did", "left").join(ends, "did", "left")
+            .select("h1", "h2", F.coalesce("label", "did").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         )
+        labelled = join_unique(self.members, known, ["h1", "h2"]).select("id", "label", "n_links")
         heads = labelled.groupBy("label").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return labelled.join(heads, "label").select("id", "group_id", "n_links")
+        return join_unique(labelled, heads, ["label"]).select("id", "group_id", "n_links")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:

@@ -98,3 +98,11 @@ def test_whole_table_against_brute_force(spark):
     rows = duckdb.connect().execute(f"SELECT DISTINCT id, searchable_text FROM '{SMALL}/memory_revisions.parquet'").fetchall()
     got = {tuple(r) for r in queries.p5_found(spark, SMALL).collect()}
     assert got == brute(rows)
+
+
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    rows = edited(5, 40) + [(f"c{i:02d}", "one two three four five six") for i in range(23)]
+    want = brute(rows)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "LEAST_FREQUENT", 4)
+    assert pairs(N.NearDuplicates(frame(spark, rows), "id", "text", Fraction(7, 10), 3)) == want
