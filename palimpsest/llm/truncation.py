@@ -1,9 +1,10 @@
 """Texts that were cut off before their end, and how often each source cuts.
 
-Three kinds of evidence over all documents: (1) the text is a strict prefix of a longer text
-elsewhere (sorted neighbours within equal fixed-length prefixes); (2) the text fills the field
-limit of its source exactly, a limit being the longest length of a source at which lengths pile up;
-(3) the text's own ending: its last word, sentence or opened structure is unfinished, judged before
+Four kinds of evidence over all documents: (1) the text is a strict prefix of a longer text
+elsewhere (sorted neighbours within equal fixed-length prefixes); (2) its last word is a strict
+prefix of longer words elsewhere and nowhere a word of its own; (3) the text fills the field limit
+of its source exactly, a limit being the longest length of a source at which lengths pile up; (4)
+the text's own ending: its last word, sentence or opened structure is unfinished, judged before
 whatever a sender added behind the break.
 """
 
@@ -16,13 +17,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from palimpsest.functions.bloom import might_contain
 from palimpsest.functions.json_index import parse
 from palimpsest.session import materialize
 
-#: Prefix whose equality brings texts together, and rows per prefix from which it is refined.
+#: Prefix whose equality brings texts together, rows per prefix from which it is refined, and the
+#: most prefixes that are.
 PREFIX_CHARS = 64
 LONG_PREFIX_CHARS = 512
 HOT_ROWS = 100_000
+MAX_HOT_KEYS = 10_000
+
+#: Letters of a fragment at least, and how often longer words with its beginning are to be seen.
+FRAGMENT_CHARS = 2
+FRAGMENT_SEEN = 3
 
 #: A length is a field limit where this many texts of a source have it and none is longer,
 #: if that is this many times what the lengths just below hold on average.
@@ -30,6 +38,9 @@ LIMIT_ROWS = 5
 LIMIT_PEAK = 5.0
 LIMIT_BELOW = 40
 
+#: Field limits that are broadcast; more of them are joined by a shuffle.
+MAX_LIMITS = 100_000
+
 _FOOTERS = [
     re.compile(r"\n\s*\n\[[^\[\]\n]{1,80}\]\s*\Z"),  # a bracketed label in its own paragraph
     re.compile(r"\n-- ?\n[^\n]{1,80}(?:\n[^\n]{1,80}){0,3}\s*\Z"),  # a mail signature
@@ -57,6 +68,19 @@ def core(text: str) -> str:
     return text
 
 
+_TAIL = re.compile(r"(?:\.\.\.|\\u[0-9a-f]{0,3}|\[(?:truncated|cut|snip|more)\])\Z", re.IGNORECASE)
+
+
+def without_marks(text: str) -> str:
+    """The text without the marks a cut leaves, which are not part of a longer copy."""
+    last = None
+    while last != text:
+        last = text
+        text = text.rstrip().rstrip("…\ufffd-")
+        text = text[:-16] + _TAIL.sub("", text[-16:])
+    return text
+
+
 def _shape(entry: str) -> str:
     entry = re.sub(r"[^\W\d_]+", "w", entry)
     entry = re.sub(r"\d+", "9", entry)
@@ -86,11 +110,8 @@ def _open_array(text: str) -> bool:
     return False
 
 
-def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = frozenset()) -> str:
-    """How a text ends. Values that begin with ``cut`` mean that it was cut off.
-
-    ``prose_labels`` are labels whose values are sentences (see :func:`prose_labels_of`).
-    """
+def ending(text: str, at_limit: bool = False) -> str:
+    """How a text ends. Values that begin with ``cut`` mean that it was cut off."""
     text = core(text)
     bare = text.strip()
     letters = len(re.findall(r"\w", bare))
@@ -104,7 +125,7 @@ def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = fro
         rest = _after_record(bare)
         if rest is None:
             return "cut: open record"
-        return ending(rest, at_limit, prose_labels) if rest else "complete record"
+        return ending(rest, at_limit) if rest else "complete record"
     if bare[0] == "[" and _open_array(bare):
         return "cut: open record"
     lines = [x.strip() for x in _QUOTED.sub("", bare).split("\n") if x.strip()]
@@ -148,22 +169,32 @@ def ending(text: str, at_limit: bool = False, prose_labels: frozenset[str] = fro
         others = [bool(_LABEL.match(x)) for x in lines[:-1]]
         card = all(others) and (len(others) > 0 or len(line) < 60) and not any(_INNER_STOP.search(x) or _CLOSED.search(x) for x in lines)
         short = len(value.split()) <= (3 if path else 9)
-        if label.group(1) not in prose_labels and not _INNER_STOP.search(value) and short and (path or card):
+        if not _INNER_STOP.search(value) and short and (path or card):
             return "cut: label at limit" if at_limit else "label"
     return "cut: sentence"
 
 
-def prose_labels_of(cores: DataFrame, rows: int = 50, most: int = 10_000) -> frozenset[str]:
-    """Labels of ``Label: value`` lines that mostly end like sentences, from the lines of all texts
-    but each text's last. At most ``most`` labels, the commonest, reach the driver."""
+def last_label(text: str) -> str | None:
+    """The label of a ``Label: value`` line at the end of a text."""
+    lines = [x.strip() for x in _QUOTED.sub("", core(text).strip()).split("\n") if x.strip()]
+    found = _LABEL.match(lines[-1]) if lines else None
+    return found.group(1) if found else None
+
+
+def prose_labels_of(cores: DataFrame) -> DataFrame:
+    """(label) of the ``Label: value`` lines that mostly end like sentences, from the lines of all
+    texts but each text's last: those whose share of such ends is half or more with 95 % confidence
+    (the lower end of Wilson's interval), however many lines there are."""
     lines = cores.select(F.split("core", "\n").alias("l")).select(F.explode(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0)))).alias("line"))
     label = F.regexp_extract("line", r"^(\$(?:/[^\s:]*)?|\p{L}[\p{L}\w -]{0,24}): ", 1)
     closed = F.col("line").rlike(r"[.!?。！？][\"'”’»)\]]*\s*$")
     counted = lines.select(label.alias("label"), closed.cast("int").alias("closed")).filter(F.col("label") != "").groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("closed").alias("share")
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("closed").alias("p")
     )
-    found = counted.filter((F.col("n") >= rows) & (F.col("share") >= 0.5)).orderBy(F.desc("n"), "label").limit(most)
-    return frozenset(r["label"] for r in found.collect())
+    z2 = 1.96**2
+    n, p = F.col("n"), F.col("p")
+    least = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+    return counted.filter(least >= 0.5).select("label")
 
 
 def field_limits(documents: DataFrame) -> DataFrame:
@@ -189,95 +220,134 @@ def field_limits(documents: DataFrame) -> DataFrame:
     )
 
 
-_JUDGED = "doc_id bigint, source string, core string, n_chars int, n_bytes int"
+_CORES = "doc_id bigint, source string, core string, n_chars int, n_bytes int, bare_chars int"
 
 
 def _cores(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text")).filter(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     )
-    target = T._parse_datatype_string(_JUDGED)
+    target = T._parse_datatype_string(_CORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cores = [core(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cores, pa.string()), pa.array([len(t) for t in cores], pa.int32()), pa.array([len(t.encode()) for t in cores], pa.int32())],
+                [
+                    batch.column(0), batch.column(1), pa.array(cores, pa.string()), pa.array([len(t) for t in cores], pa.int32()),
+                    pa.array([len(t.encode()) for t in cores], pa.int32()), pa.array([len(without_marks(t)) for t in cores], pa.int32()),
+                ],
                 names=target.names,
             )
 
     return docs.mapInArrow(run, target).dropDuplicates(["doc_id"])
 
 
-def prefixes_of_longer(texts: DataFrame, prefix_chars: int = PREFIX_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(core) of the distinct texts that are strict prefixes of another text.
+def prefixes_of_longer(texts: DataFrame, prefix_chars: int = PREFIX_CHARS, hot_rows: int = HOT_ROWS, column: str = "core") -> DataFrame:
+    """(bare) of the distinct values of ``column`` that are strict prefixes of another.
 
     In sorted order the first longer text that begins with a text follows it directly, and both
-    share the fixed-length prefix that keys them to one sorted group. Texts shorter than
-    ``prefix_chars`` are no evidence. Groups of over ``hot_rows`` distinct texts are keyed by a longer
-    prefix instead; their texts shorter than that look themselves up among the others' prefixes of
-    exactly their length.
+    share the fixed-length prefix that keys them to one sorted group. Texts shorter than that look
+    themselves up among the beginnings of all others, where only a longer copy that goes on within
+    the line counts. Groups of over ``hot_rows`` distinct texts are keyed by a longer prefix instead;
+    their texts shorter than that look themselves up in the same way, however the copy goes on.
     """
-    # The marks a cut leaves are not part of the longer copy.
-    bare = F.regexp_replace("core", r"(?i)(\s|…|\.\.\.|\x{FFFD}|\\u[0-9a-f]{0,3}|\[truncated\]|-)+$", "")
-    distinct = texts.select("core", bare.alias("bare")).filter(F.length("bare") >= prefix_chars).dropDuplicates(["bare"])
+    every = texts.select(F.col(column).alias("bare")).filter(F.length("bare") > 0).dropDuplicates(["bare"])
+    distinct = every.filter(F.length("bare") >= prefix_chars)
 
     def following(df: DataFrame, keys: list[str]) -> DataFrame:
         ahead = F.lead("bare").over(Window.partitionBy(*keys).orderBy("bare"))
         return df.withColumn("ahead", ahead).filter(F.col("ahead").startswith(F.col("bare"))).select("bare")
 
     keyed = distinct.withColumn("key", F.xxhash64(F.substring("bare", 1, prefix_chars)))
-    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(1000).select("key")
-    cold_found = following(keyed.join(F.broadcast(hot), "key", "left_anti"), ["key"])
-    warm = keyed.join(F.broadcast(hot), "key", "left_semi")
-    long = warm.filter(F.length("bare") >= LONG_PREFIX_CHARS)
-    long_found = following(long.withColumn("key2", F.xxhash64(F.substring("bare", 1, LONG_PREFIX_CHARS))), ["key", "key2"])
-    short = warm.filter(F.length("bare") < LONG_PREFIX_CHARS).withColumn("size", F.length("bare"))
-    # At most LONG_PREFIX_CHARS lengths to look up per text, whatever the group's size.
-    cut = warm.withColumn("size", F.explode(F.sequence(F.lit(prefix_chars), F.least(F.length("bare") - 1, F.lit(LONG_PREFIX_CHARS - 1))))).select(
-        F.expr("left(bare, size)").alias("bare")
-    )
-    short_found = short.join(cut, "bare", "left_semi").select("bare")
-    return cold_found.unionByName(long_found).unionByName(short_found).distinct()
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).orderBy(F.desc("n"), "key").limit(MAX_HOT_KEYS).select("key")
+    hot = materialize(hot, "hot")
+    found = following(keyed.join(F.broadcast(hot), "key", "left_anti"), ["key"])
+
+    few = every.filter(F.length("bare") < prefix_chars).withColumn("h", F.xxhash64("bare"))
+    begins = every.filter(F.length("bare") > 1).select("bare", F.explode(F.sequence(F.lit(1), F.least(F.length("bare") - 1, F.lit(prefix_chars - 1)))).alias("size"))
+    begins = begins.filter(F.expr("substring(bare, size + 1, 1)") != "\n").select(F.expr("left(bare, size)").alias("bare"))
+    # Only beginnings that may be a short text travel.
+    begins = begins.withColumn("h", F.xxhash64("bare")).filter(might_contain(few, "h", "h", 1_000_000)).select("bare")
+    found = found.unionByName(few.select("bare").join(begins, "bare", "left_semi"))
+
+    if not hot.isEmpty():
+        warm = keyed.join(F.broadcast(hot), "key", "left_semi")
+        long = warm.filter(F.length("bare") >= LONG_PREFIX_CHARS)
+        long_found = following(long.withColumn("key2", F.xxhash64(F.substring("bare", 1, LONG_PREFIX_CHARS))), ["key", "key2"])
+        short = warm.filter(F.length("bare") < LONG_PREFIX_CHARS)
+        # At most LONG_PREFIX_CHARS lengths to look up per text, whatever the group's size.
+        cut = warm.withColumn("size", F.explode(F.sequence(F.lit(prefix_chars), F.least(F.length("bare") - 1, F.lit(LONG_PREFIX_CHARS - 1))))).select(
+            F.expr("left(bare, size)").alias("bare")
+        )
+        found = found.unionByName(long_found).unionByName(short.select("bare").join(cut, "bare", "left_semi"))
+    return found.distinct()
+
+
+def fragments(cores: DataFrame, last: DataFrame) -> DataFrame:
+    """(last) of the words in ``last`` that no text has as a word before its end, while longer words
+    begin with them: what a cut leaves of a word. Counted over the words of all texts."""
+    inner = F.regexp_extract_all(F.rtrim("core"), F.lit(r"\p{L}++(?=\P{L})"), F.lit(0))
+    seen = cores.select(F.explode(inner).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen, "words")
+    asked = last.filter(F.length("last") >= FRAGMENT_CHARS).select("last").distinct()
+    unseen = asked.join(seen.select(F.col("word").alias("last")), "last", "left_anti")
+    begins = seen.filter(F.length("word") > FRAGMENT_CHARS).select("word", "n", F.explode(F.sequence(F.lit(FRAGMENT_CHARS), F.length("word") - 1)).alias("size"))
+    longer = begins.select(F.expr("left(word, size)").alias("last"), "n").groupBy("last").agg(F.sum("n").alias("n"))
+    return unseen.join(longer.filter(F.col("n") >= FRAGMENT_SEEN), "last", "left_semi")
+
+
+_JUDGED = "doc_id bigint, source string, is_prefix boolean, at_limit boolean, ending string, last string, label string"
+_LAST = re.compile(r"[^\W\d_]+\Z")
 
 
 def judge(documents: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """(doc_id, source, is_prefix, at_limit, ending, truncated), one row per doc_id with text.
 
-    A text is truncated if its ending is cut, or if it is a strict prefix of a longer text or fills
-    its source's limit and does not end with a complete sentence or record. Null texts and ids
-    give no rows; almost empty texts are whole; a null source has no limit of its own to fill but is
-    reported. Other columns are not read.
+    A text is truncated if its ending is cut, or if it is a strict prefix of a longer text, ends in a
+    fragment of a word or fills its source's limit and does not end with a complete sentence or
+    record. Null texts and ids give no rows; almost empty texts are whole; a null source has no limit
+    of its own to fill but is reported. Other columns are not read.
     """
     cores = materialize(_cores(documents), "cores")
-    limits = field_limits(cores.filter(F.col("source").isNotNull()))
+    limits = materialize(field_limits(cores.filter(F.col("source").isNotNull())), "limits")
+    near = F.broadcast if limits.count() <= MAX_LIMITS else (lambda df: df)
     char = limits.filter("unit = 'chars'").select("source", F.col("size").alias("max_chars"))
     byte = limits.filter("unit = 'bytes'").select("source", F.col("size").alias("max_bytes"))
-    found = prefixes_of_longer(cores, prefix_chars).withColumn("is_prefix", F.lit(True))
-    bare = F.regexp_replace("core", r"(?i)(\s|…|\.\.\.|\x{FFFD}|\\u[0-9a-f]{0,3}|\[truncated\]|-)+$", "")
-    marked = (
-        cores.withColumn("bare", bare)
-        .join(found, "bare", "left")
-        .join(char, "source", "left")
-        .join(byte, "source", "left")
-        .select(
-            "doc_id", "source", "core", F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"),
-            F.coalesce((F.col("n_chars") == F.col("max_chars")) | F.col("n_bytes").between(F.col("max_bytes") - 3, F.col("max_bytes")), F.lit(False)).alias("at_limit"),
-        )
+    bare = F.expr("left(core, bare_chars)")
+    found = materialize(prefixes_of_longer(cores.select(bare.alias("core")), prefix_chars), "prefixes")
+    # Prefixes are few beside the texts: the filter keeps all other texts where they are.
+    maybe = F.coalesce(might_contain(found, "bare", "_bare", max(1, found.count())), F.lit(False))
+    placed = cores.withColumn("_bare", bare).join(near(char), "source", "left").join(near(byte), "source", "left").withColumn("_maybe", maybe)
+    with_copy = placed.filter("_maybe").join(found.select(F.col("bare").alias("_bare"), F.lit(True).alias("is_prefix")), "_bare", "left")
+    without = placed.filter("NOT _maybe").withColumn("is_prefix", F.lit(False))
+    marked = with_copy.unionByName(without).select(
+        "doc_id", "source", "core", F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"),
+        F.coalesce((F.col("n_chars") == F.col("max_chars")) | F.col("n_bytes").between(F.col("max_bytes") - 3, F.col("max_bytes")), F.lit(False)).alias("at_limit"),
     )
-    labels = documents.sparkSession.sparkContext.broadcast(prose_labels_of(cores))
-    target = T._parse_datatype_string("doc_id bigint, source string, is_prefix boolean, at_limit boolean, ending string, truncated boolean")
+    target = T._parse_datatype_string(_JUDGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix, limit = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            ends = [ending(t, p or x, labels.value) for t, p, x in zip(batch.column(2).to_pylist(), prefix, limit)]
-            cut = [e.startswith("cut") for e in ends]
+            texts, prefix, limit = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            ends = [ending(t, p or x) for t, p, x in zip(texts, prefix, limit)]
+            # The last word of a text that seems to end with an entry or a value.
+            last = [m.group() if e in ("label", "list entry") and (m := _LAST.search(t.rstrip()[-200:])) else None for t, e in zip(texts, ends)]
+            label = [last_label(t) if e in ("label", "cut: label at limit") else None for t, e in zip(texts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(ends, pa.string()), pa.array(cut, pa.bool_())], names=target.names
+                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), *[pa.array(c, pa.string()) for c in (ends, last, label)]], names=target.names
             )
 
-    return marked.mapInArrow(run, target)
+    judged = materialize(marked.mapInArrow(run, target), "judged")
+    sure, doubtful = judged.filter("last IS NULL AND label IS NULL"), judged.filter("last IS NOT NULL OR label IS NOT NULL")
+    # A short value is no end where the label's values are sentences.
+    prose = prose_labels_of(cores).withColumn("prose", F.lit(True))
+    parted = fragments(cores, judged.filter("last IS NOT NULL")).withColumn("parted", F.lit(True))
+    again = F.when(F.col("prose"), "cut: sentence").when(F.col("parted"), "cut: word").otherwise(F.col("ending"))
+    doubtful = doubtful.join(prose, "label", "left").join(parted, "last", "left").withColumn("ending", again)
+    columns = ["doc_id", "source", "is_prefix", "at_limit", "ending"]
+    every = sure.select(*columns).unionByName(doubtful.select(*columns))
+    return every.withColumn("truncated", F.col("ending").startswith("cut"))
 
 
 def rates(judged: DataFrame) -> DataFrame:

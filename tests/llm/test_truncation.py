@@ -72,3 +72,25 @@ def test_open_arrays_are_cut(text):
 @pytest.mark.parametrize("text", ["[desk, sheet AB-12]", "[1, p. 3] It was done.", "[2024-01-05] It was done.", '["Note"] It was done.', '["Note" of the desk] It was done.', '[{"t":"Done."}]', "[1] It was done."])
 def test_bracketed_labels_and_whole_arrays_are_whole(text):
     assert not X.ending(text).startswith("cut"), X.ending(text)
+
+
+def test_fragments_of_words(spark):
+    words = ["Status: open\nOwner: Ann", "Status: open\nOwner: Bo", "It is open. It was opened."] * 2
+    rows = [(i, t, "s") for i, t in enumerate(words)] + [(50, "Owner: Ann\nStatus: ope", "s"), (51, "Owner: Bo\nStatus: open", "s"), (52, "Owner: Bo\nStatus: zzz", "s")]
+    got = judged(spark, rows)
+    assert {i for i, r in got.items() if r.truncated} == {50} and got[50].ending == "cut: word"
+
+
+def test_short_prefixes_count_within_the_line(spark):
+    df = spark.createDataFrame([(t,) for t in ("Desk: Il", "Desk: Ilros and more of it", "Note: one", "Note: one\nPlace: two")], "core string")
+    assert {r[0] for r in X.prefixes_of_longer(df).collect()} == {"Desk: Il"}
+
+
+def test_labels_of_sentences_need_no_number_of_lines(spark):
+    rows = [(i, f"Remark: It was done by {w}.\nIt ended.", "s") for i, w in enumerate("abcdefgh")] + [(20, "Desk: Ilros\nRemark: It was", "s"), (21, "Place: here\nDesk: Ilros", "s")]
+    assert {i for i, r in judged(spark, rows).items() if r.truncated} == {20}
+
+
+@pytest.mark.parametrize("text", ["It was…", "It was...", "It was [truncated]", "It was - ", "It was \\u00", "It was�"])
+def test_marks_are_not_part_of_a_copy(text):
+    assert X.without_marks(text) == "It was"
