@@ -34,6 +34,15 @@ def summary(feedback: DataFrame, at: str | None = None) -> DataFrame:
     ).withColumn("status", status("latest_content"))
 
 
+def listed(feedback: DataFrame, memory: str | None = None, revision: str | None = None, scope: str | None = None, at: str | None = None) -> DataFrame:
+    """Feedback of a memory, a revision or a scope, as far as asked for, seen by ``at``."""
+    keep = F.lit(True)
+    for column, value in (("memory_id", memory), ("revision_id", revision), ("scope", scope)):
+        if value is not None:
+            keep = keep & (F.col(column) == value)
+    return feedback.filter(keep if at is None else keep & (F.col("created_at") <= instant(at)))
+
+
 def with_status(df: DataFrame, feedback: DataFrame, wanted: str, revision: str = "id") -> DataFrame:
     """Rows whose revision has the wanted status; one without content feedback is unreviewed."""
     known = summary(feedback).select(F.col("revision_id").alias(revision), F.col("status").alias("_status"))

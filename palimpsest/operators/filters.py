@@ -66,6 +66,27 @@ class Candidates:
     min_salience: float | None = None
 
 
+def scored(wanted: Candidates) -> Column:
+    """Kind and scores; a null score is below any bound."""
+    keep = F.col("kind").isin(wanted.kinds) if wanted.kinds else F.lit(True)
+    if wanted.min_confidence is not None:
+        keep = keep & (F.col("confidence") >= wanted.min_confidence)
+    if wanted.min_salience is not None:
+        keep = keep & (F.col("salience") >= wanted.min_salience)
+    return keep
+
+
+def listed(memories: DataFrame, heads: DataFrame, space: str | None = None, state: str = "active", kind: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """(id, space_id, updated_at, title, kind) of the memories in a state, with what their current
+    revision ``heads`` (id, title, kind, tags) says; every other restriction is optional."""
+    own = memories.filter(F.col("state") == state)
+    if space is not None:
+        own = own.filter(F.col("space_id") == space)
+    keep = F.col("kind") == kind if kind is not None else F.lit(True)
+    current = heads.filter(keep & all_tags("tags", tags or [])).select(F.col("id").alias("current_revision_id"), "title", "kind")
+    return own.join(current, "current_revision_id").select("id", "space_id", "updated_at", "title", "kind").dropDuplicates(["id"])
+
+
 def candidates(revisions: DataFrame, events: DataFrame, spaces: DataFrame, wanted: Candidates) -> DataFrame:
     """Revisions that retrieval may return: the current ones, or those of ``at_time``.
 
@@ -74,26 +95,23 @@ def candidates(revisions: DataFrame, events: DataFrame, spaces: DataFrame, wante
     heads = temporal.revisions_as_of(revisions, wanted.at_time)
     states = temporal.states_as_of(events, wanted.at_time).filter(F.col("state").isin(wanted.states)).select("memory_id")
     active = spaces.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("space_id")).distinct()
-    keep = temporal.unexpired(wanted.at_time or wanted.now)
+    keep = temporal.unexpired(wanted.at_time or wanted.now) & scored(wanted)
     point = wanted.valid_at or (None if wanted.at_time else wanted.now)
     if point:
         keep = keep & temporal.valid_at(point)
     if wanted.spaces is not None:
         keep = keep & (F.col("space_id").isin(wanted.spaces) if wanted.spaces else F.lit(False))
-    if wanted.kinds:
-        keep = keep & F.col("kind").isin(wanted.kinds)
-    if wanted.min_confidence is not None:
-        keep = keep & (F.col("confidence") >= wanted.min_confidence)
-    if wanted.min_salience is not None:
-        keep = keep & (F.col("salience") >= wanted.min_salience)
     if wanted.tags:
         keep = keep & all_tags("tags", wanted.tags)
     return heads.filter(keep).join(states, "memory_id", "left_semi").join(active, "space_id", "left_semi")
 
 
-def readable(df: DataFrame, grants: DataFrame, principal: str, level: int) -> DataFrame:
+def readable(df: DataFrame, grants: DataFrame, principal: str, level: int, cap: int | None = None) -> DataFrame:
     """Rows of the spaces ``principal`` may use at ``level``. A grant of a space overrides that of
-    ``*``. ``grants``: (principal, space_id, level)."""
+    ``*``; no grant reaches beyond ``cap``, what the caller's token allows. ``grants``: (principal,
+    space_id, level)."""
+    if cap is not None and cap < level:
+        return df.limit(0)
     own = grants.filter(F.col("principal") == principal)
     star = own.filter(F.col("space_id") == "*").agg(F.coalesce(F.max("level"), F.lit(0)).alias("star"))
     named = own.filter(F.col("space_id") != "*").groupBy("space_id").agg(F.max("level").alias("named"))

@@ -83,6 +83,8 @@ def traverse(edges: DataFrame, root: str, depth: int, most: int) -> DataFrame:
     bounded by ``most``, so it is broadcast. Where a level has more edges, it is the last.
     """
     spark = edges.sparkSession
+    # Written once, however many levels read them.
+    edges = materialize(edges.select("a", "b", "link_id", "relation", "created_at", "outgoing"), "graph")
     schema = "memory_id string, depth int, place long, via string, outgoing boolean, path array<string>"
     seen = spark.createDataFrame([(root, 0, 0, None, None, [])], schema)
     total, frontier = 1, seen

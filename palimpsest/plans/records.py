@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions import json_text, text
 from palimpsest.operators import feedback as fb
-from palimpsest.operators import filters, fusion, graph, lexical, models, mutate, paging, segments, shape, snapshot, temporal, vectors
+from palimpsest.operators import filters, fusion, graph, lexical, models, mutate, paging, postings, segments, shape, snapshot, temporal, vectors
 from palimpsest.plans import search
 from palimpsest.sources.tables import read
 
@@ -22,6 +22,17 @@ def revisions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return (df.select("id", *columns) if columns else df).dropDuplicates(["id"])
 
 
+def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Revisions as delivered. Redelivered rows are equal in every column: filters go first, and
+    what picks one row per key needs no other removal of repeats."""
+    df = read(spark, d, "memory_revisions")
+    return df.select("id", *columns) if columns else df
+
+
+def once(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates(["id"])
+
+
 def memories(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "memories").dropDuplicates(["id"])
 
@@ -111,7 +122,7 @@ def scan_project(spark, d):
 @query(f"WITH {_MEM} SELECT id, space_id, state FROM mem WHERE id = (SELECT max(id) FROM memories)")
 def key_lookup(spark, d):
     wanted = read(spark, d, "memories").agg(F.max("id")).first()[0]
-    return memories(spark, d).filter(F.col("id") == wanted).select("id", "space_id", "state")
+    return once(read(spark, d, "memories").filter(F.col("id") == wanted).select("id", "space_id", "state"))
 
 
 @query(f"WITH {_MEM}, k AS (SELECT logical_key FROM mem WHERE logical_key IS NOT NULL ORDER BY logical_key LIMIT 1) SELECT id, space_id, logical_key FROM mem WHERE logical_key = (SELECT logical_key FROM k)")
@@ -120,7 +131,7 @@ def logical_key_lookup(spark, d):
 
     first = read(spark, d, "memories").agg(F.min("logical_key")).first()[0]
     wanted = unicodedata.normalize("NFKC", f"  {first} ").strip()
-    return memories(spark, d).filter(F.col("logical_key") == wanted).select("id", "space_id", "logical_key")
+    return once(read(spark, d, "memories").filter(F.col("logical_key") == wanted).select("id", "space_id", "logical_key"))
 
 
 @query("""SELECT id, name, CASE WHEN lower(id) = 'ops' THEN 0 WHEN lower(name) = 'ops' THEN 1 WHEN starts_with(lower(id), 'ops') THEN 2 WHEN starts_with(lower(name), 'ops') THEN 3 ELSE 4 END AS match_rank
@@ -143,41 +154,41 @@ def space_search_rank(spark, d):
 
 @query(f"WITH {_REV}, {_ST}, {_HEADS}, {_STATES} SELECT h.memory_id, h.id AS revision_id, h.revision_number, s.state, greatest(epoch_us(h.recorded_at), epoch_us(s.recorded_at)) AS updated_us FROM heads h JOIN states s USING (memory_id)")
 def current_head(spark, d):
-    h = temporal.revisions_as_of(revisions(spark, d, "memory_id", "revision_number", "recorded_at"))
-    s = temporal.states_as_of(events(spark, d)).select("memory_id", "state", F.col("recorded_at").alias("state_at"))
+    h = temporal.revisions_as_of(delivered(spark, d, "memory_id", "revision_number", "recorded_at"))
+    s = temporal.states_as_of(read(spark, d, "memory_state_events")).select("memory_id", "state", F.col("recorded_at").alias("state_at"))
     return h.join(s, "memory_id").select("memory_id", F.col("id").alias("revision_id"), "revision_number", "state", us(F.greatest("recorded_at", "state_at")).alias("updated_us"))
 
 
 @query(f"WITH {_REV}, {_REV_AT} SELECT memory_id, id AS revision_id, revision_number FROM rev_at")
 def asof_revision(spark, d):
-    return temporal.revisions_as_of(revisions(spark, d, "memory_id", "revision_number", "recorded_at"), AT).select("memory_id", F.col("id").alias("revision_id"), "revision_number")
+    return temporal.revisions_as_of(delivered(spark, d, "memory_id", "revision_number", "recorded_at"), AT).select("memory_id", F.col("id").alias("revision_id"), "revision_number")
 
 
 @query(f"WITH {_ST}, {_ST_AT} SELECT memory_id, state, event_number FROM st_at")
 def asof_state(spark, d):
-    return temporal.states_as_of(events(spark, d), AT).select("memory_id", "state", "event_number")
+    return temporal.states_as_of(read(spark, d, "memory_state_events"), AT).select("memory_id", "state", "event_number")
 
 
 @query(f"WITH {_REV}, {_ST}, {_REV_AT}, {_ST_AT} SELECT r.memory_id, r.id AS revision_id, s.state, r.title, r.kind FROM rev_at r JOIN st_at s USING (memory_id)")
 def asof_get(spark, d):
-    r = temporal.revisions_as_of(revisions(spark, d, "memory_id", "revision_number", "recorded_at", "title", "kind"), AT)
-    s = temporal.states_as_of(events(spark, d), AT).select("memory_id", "state")
+    r = temporal.revisions_as_of(delivered(spark, d, "memory_id", "revision_number", "recorded_at", "title", "kind"), AT)
+    s = temporal.states_as_of(read(spark, d, "memory_state_events"), AT).select("memory_id", "state")
     return r.join(s, "memory_id").select("memory_id", F.col("id").alias("revision_id"), "state", "title", "kind")
 
 
 @query(f"WITH {_REV} SELECT id FROM rev WHERE {_VALID}")
 def valid_at(spark, d):
-    return revisions(spark, d, "valid_from", "valid_to").filter(temporal.valid_at(NOW)).select("id")
+    return once(delivered(spark, d, "valid_from", "valid_to").filter(temporal.valid_at(NOW)).select("id"))
 
 
 @query(f"WITH {_REV} SELECT id, CASE WHEN review_after <= {_ts(NOW)} THEN TRUE ELSE FALSE END AS review_due FROM rev WHERE expires_at IS NULL OR expires_at > {_ts(NOW)}")
 def expiry_filter(spark, d):
-    kept = revisions(spark, d, "expires_at", "review_after").filter(temporal.unexpired(NOW))
+    kept = once(delivered(spark, d, "expires_at", "review_after").filter(temporal.unexpired(NOW)))
     return kept.select("id", F.coalesce(F.col("review_after") <= temporal.instant(NOW), F.lit(False)).alias("review_due"))
 
 
 def _eligible(spark, d, **more):
-    return filters.candidates(revisions(spark, d), events(spark, d), read(spark, d, "spaces"), filters.Candidates(now=NOW, **more))
+    return filters.candidates(delivered(spark, d), read(spark, d, "memory_state_events"), read(spark, d, "spaces"), filters.Candidates(now=NOW, **more))
 
 
 @query(f"WITH {_REV}, {_ST}, {_HEADS}, {_STATES}, {_ELIGIBLE} SELECT id, memory_id, space_id FROM eligible")
@@ -193,8 +204,9 @@ def candidate_filter_asof(spark, d):
 
 @query(f"WITH {_REV}, {_HEADS} SELECT id FROM heads WHERE kind IN ('decision', 'incident') AND confidence >= 0.5 AND salience >= 0.25")
 def kind_score_filter(spark, d):
-    h = temporal.revisions_as_of(revisions(spark, d, "memory_id", "revision_number", "kind", "confidence", "salience"))
-    return h.filter(F.col("kind").isin("decision", "incident") & (F.col("confidence") >= 0.5) & (F.col("salience") >= 0.25)).select("id")
+    every = filters.Candidates(now=NOW, kinds=["decision", "incident"], min_confidence=0.5, min_salience=0.25)
+    h = temporal.revisions_as_of(delivered(spark, d, "memory_id", "revision_number", "kind", "confidence", "salience"))
+    return h.filter(filters.scored(every)).select("id")
 
 
 _TAGS = "list_sort(list_distinct(list_filter(list_transform(tags, lambda t: lower(trim(t, ' '))), lambda t: t IS NOT NULL AND t <> '')))"
@@ -202,7 +214,7 @@ _TAGS = "list_sort(list_distinct(list_filter(list_transform(tags, lambda t: lowe
 
 @query(f"WITH {_REV} SELECT id FROM rev WHERE len(list_intersect({_TAGS}, ['operations', 'preference'])) = 2")
 def tag_all_filter(spark, d):
-    return revisions(spark, d, "tags").filter(filters.all_tags("tags", [" Operations", "preference", ""])).select("id")
+    return once(delivered(spark, d, "tags").filter(filters.all_tags("tags", [" Operations", "preference", ""])).select("id"))
 
 
 @query(f"WITH {_REV} SELECT id, array_to_string({_TAGS}, ',') AS tags FROM rev WHERE tags IS NOT NULL")
@@ -213,7 +225,7 @@ def tag_normalise(spark, d):
 @query(f"WITH {_REV} SELECT id FROM rev WHERE translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = (SELECT translate(min(title), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM memory_revisions)")
 def title_nocase(spark, d):
     wanted = read(spark, d, "memory_revisions").agg(F.min("title")).first()[0] or ""
-    return revisions(spark, d, "title").filter(filters.nocase_equal("title", wanted.swapcase() if wanted.isascii() else wanted)).select("id")
+    return once(delivered(spark, d, "title").filter(filters.nocase_equal("title", wanted.swapcase() if wanted.isascii() else wanted)).select("id"))
 
 
 @query("""WITH g(principal, space_id, level) AS (VALUES ('reader', '*', 1), ('reader', 'field-ops', 0), ('reader', 'default', 2), ('other', '*', 3)), m AS (SELECT DISTINCT ON (id) * FROM memories)
@@ -229,8 +241,8 @@ _LISTED = "SELECT m.id, epoch_us(m.updated_at) AS updated_us, r.title FROM mem m
 
 
 def _listed(spark, d):
-    m = memories(spark, d).filter("state = 'active'").select("id", "current_revision_id", us("updated_at").alias("updated_us"))
-    return m.join(revisions(spark, d, "title").withColumnRenamed("id", "current_revision_id"), "current_revision_id").select("id", "updated_us", "title")
+    m = once(read(spark, d, "memories").filter("state = 'active'").select("id", "current_revision_id", us("updated_at").alias("updated_us")))
+    return once(m.join(delivered(spark, d, "title").withColumnRenamed("id", "current_revision_id"), "current_revision_id").select("id", "updated_us", "title"))
 
 
 @query(f"WITH {_MEM}, {_REV} {_LISTED} ORDER BY updated_us DESC, id DESC LIMIT 51")
@@ -275,7 +287,7 @@ def feedback_status_filter(spark, d):
 
 @query(f"WITH {_FB} SELECT id, revision_id, scope, signal FROM fb WHERE scope = 'content' AND created_at <= TIMESTAMP '2024-01-15' ORDER BY created_at DESC, id DESC LIMIT 21")
 def feedback_page(spark, d):
-    seen = feedback(spark, d).filter((F.col("scope") == "content") & (F.col("created_at") <= temporal.instant("2024-01-15 00:00:00")))
+    seen = fb.listed(feedback(spark, d), scope="content", at="2024-01-15 00:00:00")
     return paging.page(seen, [("created_at", False), ("id", False)], 20).select("id", "revision_id", "scope", "signal")
 
 
@@ -373,6 +385,17 @@ def chunk_revisions(spark, d):
 
 # -- retrieval -----------------------------------------------------------------------------------
 
+_indexes: dict[tuple[str, str], postings.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> postings.Index:
+    """The inverted index of the revisions in ``d``, built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = postings.build(search.corpus(delivered(spark, d)), list(search.WEIGHTS))
+    return _indexes[key]
+
+
 _WEIGHTS = {"title": 2.0, "searchable_text": 1.0, "tag_text": 0.5}
 
 
@@ -401,13 +424,13 @@ scored AS (SELECT id, memory_id, {terms} AS score FROM h, stat WHERE {' OR '.joi
 
 @query(f"WITH {_REV}, {_sql_bm25(QUERY)} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 100")
 def bm25_topk(spark, d):
-    scored = lexical.bm25(search.corpus(revisions(spark, d)), search.WEIGHTS, QUERY)
+    scored = postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY)
     return lexical.top(scored, 100, "id").select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_REV}, {_ST}, {_HEADS}, {_STATES}, {_ELIGIBLE}, {_sql_bm25(QUERY)} SELECT id, round(score, 6) AS score FROM scored WHERE id IN (SELECT id FROM eligible) ORDER BY scored.score DESC, id LIMIT 100")
 def bm25_filtered(spark, d):
-    scored = lexical.bm25(search.corpus(revisions(spark, d)), search.WEIGHTS, QUERY).join(_eligible(spark, d).select("id"), "id", "left_semi")
+    scored = postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY).join(_eligible(spark, d).select("id"), "id", "left_semi")
     return lexical.top(scored, 100, "id").select("id", F.round("score", 6).alias("score"))
 
 
@@ -462,7 +485,7 @@ fused AS (SELECT memory_id, sum(1.0 / (60 + rank)) AS fused, min(rank) FILTER (c
 
 
 def _tables(spark, d):
-    return search.Tables(memories(spark, d), revisions(spark, d), events(spark, d), read(spark, d, "spaces"), _vectors(spark, d))
+    return search.Tables(memories(spark, d), delivered(spark, d), read(spark, d, "memory_state_events"), read(spark, d, "spaces"), _vectors(spark, d), index_of(spark, d))
 
 
 def _fused(spark, d):
@@ -494,11 +517,25 @@ def rerank_fuse(spark, d):
     return fusion.rerank(top, scores).orderBy(*fusion.order()).limit(10).select("memory_id", F.round("fused", 9).alias("fused"))
 
 
-@query(f"""{_FUSED}, top AS (SELECT memory_id, row_number() OVER (ORDER BY fused DESC, seen) AS place FROM fused ORDER BY fused DESC, seen LIMIT 30) SELECT memory_id FROM top WHERE place = 1""")
-def decisive_prune(spark, d):
+_TOP30 = f"{_FUSED}, top AS (SELECT memory_id, row_number() OVER (ORDER BY fused DESC, seen) AS place FROM fused ORDER BY fused DESC, seen LIMIT 30)"
+
+
+def _scored30(spark, d, others):
+    """The best 30, every seventh an exact hit, with scores as a reranker would give them."""
     place = F.row_number().over(Window.partitionBy().orderBy(*fusion.order()))
-    top = _fused(spark, d).orderBy(*fusion.order()).limit(30).withColumn("reranker", F.when(place == 1, 0.9).otherwise(0.001))
-    return fusion.prune_decisive(top).select("memory_id")
+    top = _fused(spark, d).orderBy(*fusion.order()).limit(30).withColumn("n", place)
+    exact = F.when(F.col("n") % 7 == 0, F.col("n"))
+    return top.withColumns({"reranker": F.when(F.col("n") == 1, 0.9).otherwise(others / F.col("n")), "exact_rank": exact}).drop("n")
+
+
+@query(f"{_TOP30} SELECT memory_id FROM top WHERE place = 1 OR place % 7 = 0")
+def decisive_prune(spark, d):
+    return fusion.prune_decisive(_scored30(spark, d, 0.03)).select("memory_id")
+
+
+@query(f"{_TOP30} SELECT memory_id FROM top")
+def indecisive_prune(spark, d):
+    return fusion.prune_decisive(_scored30(spark, d, 0.04)).select("memory_id")
 
 
 @query()
@@ -511,7 +548,7 @@ def search_hybrid(spark, d):
 def excerpts(spark, d):
     """The best lexical hits with the field of their best line and its neighbours."""
     r = revisions(spark, d)
-    best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 50, "id")
+    best = lexical.top(postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY), 50, "id")
     return search.excerpts(r, best, QUERY)
 
 
@@ -519,7 +556,7 @@ def excerpts(spark, d):
 def rerank_documents(spark, d):
     """Scores of the best hits' documents by the stand-in reranker."""
     r = revisions(spark, d)
-    best = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, QUERY), 30, "id").select("id")
+    best = lexical.top(postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY), 30, "id").select("id")
     return search.rerank_scores(r, best, QUERY, models.OverlapReranker())
 
 
@@ -647,11 +684,12 @@ def purge_deleted(spark, d):
     return mutate.purge(revisions(spark, d, "memory_id"), gone).select("id", "memory_id")
 
 
-@query(f"WITH {_REV}, {_MEM}, {_HEADS} SELECT id FROM heads WHERE id NOT IN (SELECT current_revision_id FROM mem WHERE index_status IN ('pending', 'running') AND current_revision_id IS NOT NULL)")
+@query(f"WITH {_REV}, {_MEM}, {_HEADS} SELECT id FROM heads WHERE memory_id NOT IN (SELECT id FROM mem WHERE state = 'deleted') AND id NOT IN (SELECT current_revision_id FROM mem WHERE index_status IN ('pending', 'running') AND current_revision_id IS NOT NULL)")
 def reindex_queue(spark, d):
     heads = temporal.revisions_as_of(revisions(spark, d, "memory_id", "revision_number", "recorded_at"))
     jobs = memories(spark, d).select(F.col("current_revision_id").alias("revision_id"), F.col("index_status").alias("status"))
-    return mutate.reindex_queue(heads, jobs).select("id")
+    gone = memories(spark, d).filter("state = 'deleted'").select(F.col("id").alias("memory_id"))
+    return mutate.reindex_queue(mutate.purge(heads, gone), jobs).select("id")
 
 
 @query(f"WITH {_VEC}, {_REV}, {_HEADS} SELECT v.segment_id, h.memory_id, h.space_id, coalesce(h.confidence, -1.0) AS confidence FROM vec v JOIN heads h ON h.id = split_part(v.segment_id, ':', 1)")

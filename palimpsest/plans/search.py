@@ -1,18 +1,25 @@
-"""The search plan: candidates, three retrieval channels, fusion, title boost and top-k; what shows a hit."""
+"""The search plan: candidates, three retrieval channels, fusion, title boost, relation expansion, the
+rerank gate, reranking and pruning, top-k; what shows a hit."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palimpsest.operators import filters, fusion, lexical, models, segments, shape, vectors
+from palimpsest.operators import filters, fusion, lexical, models, postings, segments, shape, vectors
+from palimpsest.session import materialize
 
 WEIGHTS = {"title": 2.0, "searchable_text": 1.0, "tag_text": 0.5}
 #: A line of a searchable text that begins a field, with the field's path.
 FIELD_LINE = r"^(\$(?:/[^:]*)?|metadata/[^:]*|sources/[0-9]+/[^:]*):"
 #: Matched segments in a rerank document.
 EVIDENCE_SEGMENTS = 2
+# Exact hits, results, and the sizes of the set that is reranked.
+MOST_EXACT, MOST_RESULTS = 50, 50
+LEAST_RERANKED, MOST_RERANKED = 3, 30
+MODES = ("auto", "fast", "quality", "lexical", "semantic")
 
 
 @dataclass(frozen=True)
@@ -22,6 +29,10 @@ class Tables:
     events: DataFrame
     spaces: DataFrame
     vectors: DataFrame | None = None
+    #: The inverted index of the revisions; without one every text is scored where it lies.
+    index: postings.Index | None = None
+    #: (a, b, created_at, link_id), for relation expansion.
+    edges: DataFrame | None = None
 
 
 def corpus(revisions: DataFrame) -> DataFrame:
@@ -32,10 +43,13 @@ def corpus(revisions: DataFrame) -> DataFrame:
 def channels(tables: Tables, wanted: filters.Candidates, query: str, vector: list[float] | None, profile: str | None, k: int, mode: str = "auto") -> list[DataFrame]:
     eligible = filters.candidates(tables.revisions, tables.events, tables.spaces, wanted)
     heads = eligible.select("id", "memory_id", "recorded_at", "title")
-    found = [fusion.channel(lexical.exact(heads, tables.memories, query, k), "exact", [F.asc("rank_value"), F.desc("recorded_at"), F.asc("id")])]
-    ids = heads.select("id")
+    found = [fusion.channel(lexical.exact(heads, tables.memories, query, min(k, MOST_EXACT)), "exact", [F.asc("rank_value"), F.desc("recorded_at"), F.asc("id")])]
     if mode != "semantic":
-        scored = lexical.bm25(corpus(tables.revisions), WEIGHTS, query).select("id", "memory_id", "score").join(ids, "id", "left_semi")
+        if tables.index is not None:
+            scored = postings.search(tables.index, list(WEIGHTS.values()), query)
+        else:
+            scored = lexical.bm25(corpus(tables.revisions.dropDuplicates(["id"])), WEIGHTS, query).select("id", "score")
+        scored = scored.join(heads.select("id", "memory_id"), "id")
         found.append(fusion.channel(lexical.top(scored, k, "id"), "lexical", [F.desc("score"), F.asc("id")]))
     if mode != "lexical" and vector is not None and tables.vectors is not None:
         segments = tables.vectors.filter(F.col("model_profile_id") == profile).select("segment_id", "embedding", F.substring_index("segment_id", ":", 1).alias("id"))
@@ -88,10 +102,51 @@ def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker) -
     return models.rerank_scores(documents, query, reranker)
 
 
-def search(tables: Tables, wanted: filters.Candidates, query: str, vector: list[float] | None = None, profile: str | None = None, k: int = 5, depth: int = 100, mode: str = "auto") -> DataFrame:
-    """(memory_id, evidence, fused, ranks, boost, title): the k best memories."""
+def search(
+    tables: Tables, wanted: filters.Candidates, query: str, vector: list[float] | None = None, profile: str | None = None, k: int = 5, depth: int = 100, mode: str = "auto",
+    scorer: Callable[[DataFrame, str], DataFrame] | None = None, expand: bool = False,
+) -> DataFrame:
+    """(place, memory_id, evidence, fused, ranks, boost, reranker, title, degraded): the k best memories.
+
+    ``quality`` reranks, ``auto`` does where the best two leave doubt (:func:`fusion.needs_rerank`), the
+    other modes never do; ``scorer`` gives (memory_id, reranker) for the few hits (id, memory_id, title)
+    and the query. What a mode asks for and cannot have, vectors or a scorer, is left out and named in
+    ``degraded``. With ``expand`` linked memories that were not found follow at a low score.
+    """
     if not query.strip():
         raise ValueError("a blank query")
+    if mode not in MODES:
+        raise ValueError(f"a mode is one of {MODES}")
+    k = min(max(k, 1), MOST_RESULTS)
+    degraded = []
+    if mode != "lexical" and (vector is None or tables.vectors is None):
+        degraded.append("no vectors")
+    # From here on there are as many rows as the channels give, a few hundred at most.
     fused = fusion.fuse(*channels(tables, wanted, query, vector, profile, depth, mode))
-    titled = fused.join(tables.revisions.select(F.col("id").alias("evidence"), "title"), "evidence", "left")
-    return fusion.title_boost(titled, query).orderBy(*fusion.order()).limit(min(max(k, 1), 50))
+    if expand and tables.edges is not None:
+        active = filters.candidates(tables.revisions, tables.events, tables.spaces, wanted).select("memory_id", "id")
+        near = fusion.expand_relations(fused, tables.edges, active.select("memory_id")).join(active.withColumnRenamed("id", "evidence"), "memory_id")
+        fused = fused.unionByName(near, allowMissingColumns=True)
+    titles = tables.revisions.select(F.col("id").alias("evidence"), "title")
+    titled = titles.join(F.broadcast(fused.select("evidence").distinct()), "evidence", "left_semi").dropDuplicates(["evidence"])
+    ordered = materialize(fusion.title_boost(fused.join(titled, "evidence", "left"), query), "fused")
+    first = ordered.orderBy(*fusion.order()).limit(2).collect()
+    wants = mode == "quality" and len(first) > 1 or mode == "auto" and fusion.needs_rerank(first, wanted.spaces is not None)
+    if wants and scorer is None:
+        degraded.append("no reranker")
+    elif wants:
+        best = ordered.orderBy(*fusion.order()).limit(min(MOST_RERANKED, max(LEAST_RERANKED, 2 * k)))
+        scores = scorer(best.select(F.col("evidence").alias("id"), "memory_id", "title"), query)
+        ordered = fusion.prune_decisive(fusion.rerank(ordered, scores)).drop("place")
+    if "reranker" not in ordered.columns:
+        ordered = ordered.withColumn("reranker", F.lit(None).cast("double"))
+    top = ordered.orderBy(*fusion.order()).limit(k)
+    place = F.row_number().over(Window.partitionBy().orderBy(*fusion.order()))
+    return top.select(
+        place.alias("place"), "memory_id", "evidence", "fused", "exact_rank", "lexical_rank", "semantic_rank", "boost", "reranker", "title", F.lit("; ".join(degraded)).alias("degraded")
+    )
+
+
+def model_scorer(revisions: DataFrame, reranker) -> Callable[[DataFrame, str], DataFrame]:
+    """A scorer that gives a model the documents of :func:`rerank_scores`."""
+    return lambda hits, query: rerank_scores(revisions.dropDuplicates(["id"]), hits, query, reranker)

@@ -6,10 +6,10 @@ import pytest
 from compare import differences, duck
 from conftest import TINY
 
-from palimpsest.plans import problems, records
+from palimpsest.plans import problems, records, store
 
-QUERIES = records.QUERIES | problems.QUERIES
-SQL = records.SQL | problems.SQL
+QUERIES = records.QUERIES | store.QUERIES | problems.QUERIES
+SQL = records.SQL | store.SQL | problems.SQL
 
 
 @pytest.fixture(scope="module")
