@@ -234,7 +234,8 @@ def _walk(spark, d):
 
 _WALK = f"""{_LINKS}, {_LIVE}, e AS (SELECT src AS a, dst AS b, created_at, link_id FROM live UNION ALL SELECT dst, src, created_at, link_id FROM live),
 one AS (SELECT b AS id, row_number() OVER (ORDER BY min(struct_pack(c := created_at, l := link_id))) AS place FROM e WHERE a = 'P1' GROUP BY b),
-cand AS (SELECT e.b AS id, o.place AS parent, e.created_at, e.link_id FROM e JOIN one o ON e.a = o.id WHERE e.b <> 'P1' AND e.b NOT IN (SELECT id FROM one)),
+touched AS (SELECT e.b AS id, o.place AS parent, e.created_at, e.link_id FROM e JOIN one o ON e.a = o.id ORDER BY e.created_at, e.link_id, e.a LIMIT (SELECT least(greatest(4 * (500 - count(*)), 100), 20000) FROM one)),
+cand AS (SELECT * FROM touched WHERE id <> 'P1' AND id NOT IN (SELECT id FROM one)),
 two AS (SELECT id, row_number() OVER (ORDER BY min(struct_pack(p := parent, c := created_at, l := link_id))) + (SELECT count(*) FROM one) AS place FROM cand GROUP BY id),
 walk AS (SELECT * FROM (SELECT 'P1' AS memory_id, 0 AS depth, 0 AS place UNION ALL SELECT id, 1, place FROM one UNION ALL SELECT id, 2, place FROM two) WHERE place < 500)"""
 
