@@ -55,14 +55,14 @@ def search(index: Index, weights: list[float], query: str) -> DataFrame:
     """(id, score) of the records that hold a phrase of the query, by BM25 over weighted columns with
     the statistics of all records; higher is better. A query without tokens finds nothing."""
     phrases = query_phrases(query)
+    if not phrases:
+        return index.postings.limit(0).select("id", F.lit(0.0).alias("score"))
     number = {w: i for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
     found = index.postings.filter(F.col("term").isin(list(number)))
     none = F.array().cast("array<int>")
     by_field = found.groupBy("id", "size", "field").agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("at"))), none).alias(f"_p{i}") for w, i in number.items()])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("field") + 1)
     hits = by_field.groupBy("id", "size").agg(*[F.sum(_phrase(p, number) * weight).alias(f"_h{i}") for i, p in enumerate(phrases)])
-    if not phrases:
-        return found.select("id", F.lit(0.0).alias("score"))
     # Two rows reach the driver: the statistics, and how many records hold each phrase.
     corpus = index.statistics.first()
     holds = hits.agg(*[F.count_if(F.col(f"_h{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()

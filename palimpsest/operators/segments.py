@@ -1,53 +1,65 @@
-"""Index segments of a text: pieces packed to a target length, none over a limit."""
+"""Index segments of a text: pieces packed to a target length, none over a limit.
+
+Pieces and breaks are found once for a whole text; their ends are prefix sums, in which a binary
+search finds where a chunk ends.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-# Fixed values of the index: characters, then tokens and passes.
+# Fixed values of the index: characters, then tokens.
 TARGET, MOST, PARAGRAPH = 3200, 4800, 4000
-MAX_TOKENS, PASSES = 1200, 4
+MAX_TOKENS = 1200
 
 _BLANK = re.compile(r"\n{2,}")
 _SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s|\Z)|\n|\Z)", re.DOTALL)
+#: Breaks to cut at, strongest first: lines, sentences, words.
+_BREAKS = [re.compile(p) for p in (r"\n+", r"[.!?]+\s+", r"\s+")]
+
 
+def cut(text: str, limit: int) -> list[str]:
+    """Parts of at most ``limit`` characters, each ending at the last of the strongest breaks that
+    fill a quarter of the limit, or at the limit itself. No character but white space is lost."""
+    ends = [np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for p in _BREAKS]
+    bounds = [0]
+    while len(text) - bounds[-1] > limit:
+        least, last = bounds[-1] + limit // 4, bounds[-1] + limit
+        under = [int(e[i - 1]) for e in ends if (i := np.searchsorted(e, last, side="right")) and e[i - 1] > least]
+        bounds.append(under[0] if under else last)
+    bounds.append(len(text))
+    return [part for low, high in zip(bounds, bounds[1:]) if (part := text[low:high].strip())]
 
-def pieces(text: str) -> list[str]:
-    """Paragraphs; those too long for one as sentences and lines. No word is lost."""
+
+def pieces(text: str, most: int = MOST) -> list[str]:
+    """Paragraphs; those too long for one as sentences and lines; those over ``most`` as parts."""
     found = []
     for paragraph in _BLANK.split(text):
         paragraph = paragraph.strip()
         parts = [paragraph] if len(paragraph) <= PARAGRAPH else [m.group().strip() for m in _SENTENCE.finditer(paragraph)]
-        found.extend(p for p in parts if p)
+        for part in filter(None, parts):
+            found.extend([part] if len(part) <= most else cut(part, most))
     return found
 
 
 def pack(text: str, target: int = TARGET, most: int = MOST) -> list[str]:
-    """Chunks of whole pieces up to ``target`` characters; a piece over ``most`` is cut hard."""
+    """Chunks of as many whole pieces as ``target`` characters hold, at least one."""
     if len(text) <= most:
         return [text]
-    chunks, open_parts, size = [], [], 0
-
-    def close() -> None:
-        nonlocal open_parts, size
-        if open_parts:
-            chunks.append(" ".join(open_parts))
-        open_parts, size = [], 0
-
-    for piece in pieces(text):
-        if len(piece) > most:
-            close()
-            chunks.extend(filter(None, (piece[at : at + most].strip() for at in range(0, len(piece), most))))
-        else:
-            if open_parts and size + 1 + len(piece) > target:
-                close()
-            size += len(piece) + bool(open_parts)
-            open_parts.append(piece)
-    close()
+    found = pieces(text, most)
+    # Ends of the pieces when all are joined by single spaces.
+    ends = np.cumsum([len(p) + 1 for p in found])
+    chunks, first = [], 0
+    while first < len(found):
+        begin = int(ends[first - 1]) if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, begin + target + 1, side="right")))
+        chunks.append(" ".join(found[first:after]))
+        first = after
     return chunks
 
 
@@ -55,33 +67,18 @@ def estimate(text: str) -> int:
     return max(1, -(-len(text) // 4))
 
 
-def halve(text: str) -> tuple[str, str]:
-    """Two halves at the last line, sentence or word end before the middle, past the first quarter."""
-    middle = len(text) // 2
-    for mark in ("\n", ". ", " "):
-        at = text.rfind(mark, 0, middle + len(mark))
-        if at > len(text) * 0.25:
-            break
-    else:
-        at = middle
-    return text[: at + 1].strip(), text[at + 1 :].strip()
-
-
 def within_tokens(chunks: list[str], count: Callable[[str], int] = estimate, most: int = MAX_TOKENS) -> list[str]:
-    """Chunks halved until none has more than ``most`` tokens, in a few passes."""
-    for _ in range(PASSES):
-        again, changed = [], False
-        for chunk in chunks:
-            parts = halve(chunk) if count(chunk) > most else None
-            if parts and all(parts):
-                again.extend(parts)
-                changed = True
-            else:
-                again.append(chunk)
-        chunks = again
-        if not changed:
-            break
-    return chunks
+    """Chunks cut until none has more than ``most`` tokens: into parts of the length that would
+    hold as many if tokens were even, and those again where they are not."""
+    done, todo = [], list(reversed(chunks))
+    while todo:
+        chunk = todo.pop()
+        size = count(chunk)
+        if size <= most or len(chunk) < 2:
+            done.append(chunk)
+        else:
+            todo.extend(reversed(cut(chunk, max(1, len(chunk) * most // size))))
+    return done
 
 
 def build(df: DataFrame, id_column: str, text_column: str, head_column: str | None = None) -> DataFrame:

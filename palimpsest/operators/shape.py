@@ -2,50 +2,40 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Characters of an excerpt, of its head, and of a rerank document.
 EXCERPT, EXCERPT_HEAD, RERANK_DOCUMENT = 2000, 400, 8000
 HEAD_LINES = ("Title: ", "Kind: ", "Tags: ")
 
 
-def excerpt(searchable: str, path: str, fallback: str, most: int = EXCERPT, most_head: int = EXCERPT_HEAD) -> str:
-    """The field at ``path`` with the nearest fields of the same object that fit, under the head
-    lines; without such fields the segment's own text, cut to size."""
-    lines = searchable.split("\n")
-    hit = next((i for i, line in enumerate(lines) if line.startswith(f"{path}:")), None)
-    cut = path.rfind("/")
-    family = f"{path[:cut] if cut > 0 else path}/"
-    siblings = [i for i, line in enumerate(lines) if line.startswith(family)]
-    if hit is None or hit not in siblings or len(siblings) < 2:
-        return fallback[:most]
-    head, used = [], 0
-    for line in lines:
-        size = len(line) + bool(head)
-        if line.startswith(HEAD_LINES) and used + size <= most_head:
-            head.append(line)
-            used += size
-    room = most - used - bool(head) - len(lines[hit])
-    if room < 0:
-        return fallback[:most]
-    kept, at = [hit], siblings.index(hit)
-    by_distance = sorted((i for i in range(len(siblings)) if i != at), key=lambda i: (abs(i - at), i))
-    for i in by_distance:
-        size = len(lines[siblings[i]]) + 1
-        if size <= room:
-            kept.append(siblings[i])
-            room -= size
-    return "\n".join([*head, *(lines[i] for i in sorted(kept))])
+def with_excerpt(df: DataFrame, id_column: str, searchable: str, path: str, fallback: str, most: int = EXCERPT, most_head: int = EXCERPT_HEAD) -> DataFrame:
+    """``df``, one row per id, with ``excerpt``: the line of the field at ``path`` and the lines of
+    the same object's other fields, nearest first, as many as fit in ``most`` characters, in the
+    text's order under its head lines (at most ``most_head`` characters). Where the field is not there, stands
+    alone or does not fit, ``fallback`` cut to size. Null texts and paths count as empty.
 
+    Lines are rows: a field's distance is its place among its object's fields, and running lengths
+    by distance say what fits.
+    """
+    texts = df.select(F.col(id_column).alias("_id"), F.coalesce(path, F.lit("")).alias("_path"), F.split(F.coalesce(searchable, F.lit("")), "\n").alias("_l"))
+    lines = texts.select("_id", "_path", F.posexplode("_l").alias("_at", "_line"))
+    starts = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(F.col("_line"), w))
+    holder = F.when(F.instr("_path", "/") > 1, F.regexp_replace("_path", "/[^/]*$", "")).otherwise(F.col("_path"))
+    size = F.length("_line") + 1
+    whole, sofar = Window.partitionBy("_id"), Window.partitionBy("_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
 
-def with_excerpt(df: DataFrame, searchable: str, path: str, fallback: str, name: str = "excerpt") -> DataFrame:
-    """``df`` with an excerpt; meant for the few rows of a result."""
-    @F.pandas_udf(T.StringType())
-    def make(s: pd.Series, p: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([excerpt(a or "", b or "", c or "") for a, b, c in zip(s, p, f)])
-
-    return df.withColumn(name, make(searchable, path, fallback))
+    heads = lines.filter(starts(HEAD_LINES)).withColumn("_used", F.sum(size).over(sofar)).filter(F.col("_used") <= most_head + 1)
+    taken = heads.groupBy("_id").agg(F.max("_used").alias("_head"))
+    fields = lines.filter(F.startswith("_line", F.concat(holder, F.lit("/")))).withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_at")))
+    own = F.min(F.when(F.startswith("_line", F.concat("_path", F.lit(":"))), F.col("_n"))).over(whole)
+    placed = fields.withColumn("_far", F.abs(F.col("_n") - own)).filter("_far IS NOT NULL").withColumn("_fields", F.count(F.lit(1)).over(whole))
+    nearest = Window.partitionBy("_id").orderBy("_far", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.filter("_fields > 1").join(taken, "_id", "left").withColumn("_used", F.coalesce("_head", F.lit(0)) + F.sum(size).over(nearest)).filter(F.col("_used") <= most + 1)
+    shown = near.select("_id", "_at", "_line").unionByName(heads.join(near.select("_id").distinct(), "_id", "left_semi").select("_id", "_at", "_line"))
+    joined = shown.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n").alias("_shown"))
+    found = df.join(joined.withColumnRenamed("_id", id_column), id_column, "left")
+    return found.withColumn("excerpt", F.coalesce("_shown", F.substring(F.coalesce(fallback, F.lit("")), 1, most))).drop("_shown")
 
 
 def rerank_document(evidence: Column) -> Column:

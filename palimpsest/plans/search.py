@@ -92,7 +92,7 @@ def excerpts(revisions: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     texts = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "searchable_text")
     found = texts.join(matched_lines(revisions, hits, query), "id", "left")
     shown = found.withColumns({"path": F.coalesce("path", F.lit("")), "at": F.coalesce("at", F.lit("")), "matched": F.coalesce("matched", "searchable_text")})
-    return shape.with_excerpt(shown, "searchable_text", "at", "matched").select("id", "path", "excerpt")
+    return shape.with_excerpt(shown, "id", "searchable_text", "at", "matched").select("id", "path", "excerpt")
 
 
 def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker) -> DataFrame:

@@ -13,16 +13,22 @@ from palimpsest.streaming import generations
 TEXT = "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR\n$/price/basis: each\n$/other: x"
 
 
-def test_excerpt_takes_the_nearest_siblings():
-    assert shape.excerpt(TEXT, "$/price/currency", "f") == "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR\n$/price/basis: each"
-    assert shape.excerpt(TEXT, "$/price/amount", "f", most=70) == "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR"
-    assert shape.excerpt(TEXT, "$/gone", "fallback text", most=8) == "fallback"
-    assert shape.excerpt(TEXT, "$/price/basis", "f", most=10) == "f"
+def excerpt(spark, path, fallback, **kw):
+    df = spark.createDataFrame([("a", TEXT, path, fallback)], "id string, t string, p string, f string")
+    return shape.with_excerpt(df, "id", "t", "p", "f", **kw).first().excerpt
+
+
+def test_excerpt_takes_the_nearest_siblings(spark):
+    assert excerpt(spark, "$/price/currency", "f") == "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR\n$/price/basis: each"
+    assert excerpt(spark, "$/price/amount", "f", most=70) == "Title: T\nKind: note\n$/price/amount: 18.25\n$/price/currency: EUR"
+    assert excerpt(spark, "$/gone", "fallback text", most=8) == "fallback"
+    assert excerpt(spark, "$/price/basis", "f", most=10) == "f"
+    assert excerpt(spark, None, None) == ""
 
 
 def test_excerpts_and_documents_on_rows(spark):
     r = records.revisions(spark, TINY).limit(20)
-    shown = shape.with_excerpt(r.withColumn("path", F.lit("$/x")), "searchable_text", "path", "title")
+    shown = shape.with_excerpt(r.withColumn("path", F.lit("$/x")), "id", "searchable_text", "path", "title")
     assert all(x.excerpt == (x.title or "")[: shape.EXCERPT] for x in shown.collect())
     for x in r.withColumn("d", shape.rerank_document(F.col("searchable_text"))).collect():
         assert "Matched evidence:" in x.d and len(x.d) <= shape.RERANK_DOCUMENT and ("Title: " in x.d) == bool(x.title or "Title: " in x.searchable_text)

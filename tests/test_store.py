@@ -24,11 +24,15 @@ def test_packing_loses_no_word(value, target):
     assert "".join("".join(chunks).split()) == "".join(value.split())
 
 
-def test_halving():
-    left, right = segments.halve("one two. three four five six seven")
-    assert (left + " " + right) == "one two. three four five six seven"
-    chunks = segments.within_tokens(["word " * 3000])
-    assert all(segments.estimate(c) <= segments.MAX_TOKENS for c in chunks)
+def test_cutting_to_tokens():
+    assert segments.cut("one two. three four five six seven", 20) == ["one two.", "three four five six", "seven"]
+    for value in ("word " * 3000, "x" * 20_000, "", "a\n" * 4000):
+        chunks = segments.within_tokens([value])
+        assert all(segments.estimate(c) <= segments.MAX_TOKENS for c in chunks)
+        assert "".join("".join(chunks).split()) == "".join(value.split())
+    # Tokens that are dense at one end.
+    dense = "a " * 50 + "b" * 900
+    assert all(c.count(" ") < 20 for c in segments.within_tokens([dense], lambda t: t.count(" "), 19))
 
 
 def test_leaves_and_canonical():
