@@ -38,6 +38,11 @@ def with_excerpt(df: DataFrame, id_column: str, searchable: str, path: str, fall
     return found.withColumn("excerpt", F.coalesce("_shown", F.substring(F.coalesce(fallback, F.lit("")), 1, most))).drop("_shown")
 
 
+def without_head(text: str | Column) -> Column:
+    """A text without the head lines it begins with, which a result shows elsewhere."""
+    return F.regexp_replace(text, r"^(Title: [^\n]*\n)?(Kind: [^\n]*\n)?(Tags: [^\n]*\n)?", "")
+
+
 def rerank_document(evidence: Column) -> Column:
     """Title, kind, tags, scores, validity and sources, then the matched evidence, within a size."""
     line = lambda label, value: F.concat(F.lit(f"{label}: "), value)

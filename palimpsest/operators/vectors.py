@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from palimpsest.functions.columns import computed_once
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def l2(column: str | Column, query: list[float]) -> Column:
-    """Euclidean distance in double precision; null for vectors of another length."""
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    squares = F.zip_with(column, wanted, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(column) == len(query), F.sqrt(total))
+def nearest(df: DataFrame, column: str, query: list[float], k: int, id_column: str) -> DataFrame:
+    """The k rows nearest to ``query`` with ``distance``, Euclidean in double precision; ties by id.
+    Filter before: the answer is exact for whatever rows are left. Vectors of another length and
+    those with a null or undefined number take no part.
 
+    Each batch of rows is one block of differences, of which only its own k best leave it.
+    """
+    wanted = np.asarray(query, dtype=np.float64)
+    usable = df.filter(F.size(column) == len(query))
+    target = T.StructType([*df.schema.fields, T.StructField("distance", T.DoubleType())])
+    at, key = df.columns.index(column), df.columns.index(id_column)
 
-def nearest(df: DataFrame, column: str, query: list[float], k: int, id_column: str) -> DataFrame:
-    """The k rows nearest to ``query`` with ``distance``; ties by id. Filter before: the answer is
-    exact for whatever rows are left."""
-    return computed_once(df, {"distance": l2(column, query)}).filter(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_column).limit(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column(at).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            apart = flat.reshape(-1, len(wanted)) - wanted
+            distance = np.sqrt((apart * apart).sum(1))
+            ids = np.array(batch.column(key).to_pylist(), dtype=object)
+            good = np.flatnonzero(~np.isnan(distance))
+            if len(good) > k:
+                good = good[distance[good] <= np.partition(distance[good], k - 1)[k - 1]]
+            best = sorted(good.tolist(), key=lambda i: (distance[i], ids[i] is not None, ids[i]))[:k]
+            take = batch.take(pa.array(best, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(distance[best], pa.float64())], names=target.names)
+
+    return usable.mapInArrow(run, target).orderBy("distance", id_column).limit(k)

@@ -710,7 +710,8 @@ def export_nested(spark, d):
 
 @query()
 def stream_index(spark, d):
-    import uuid
+    """Run again on the same folder it reads only the files that have come since."""
+    import hashlib
 
     from palimpsest.streaming.ingest import index_available
 
@@ -720,4 +721,4 @@ def stream_index(spark, d):
     p = jvm.org.apache.hadoop.fs.Path(path)
     folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
     source, pattern = (path, "*.parquet") if folder else (d, "memory_revisions.parquet")
-    return index_available(spark, source, pattern, table.schema, uuid.uuid4().hex)
+    return index_available(spark, source, pattern, table.schema, hashlib.md5(d.encode()).hexdigest())

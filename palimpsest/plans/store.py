@@ -151,6 +151,42 @@ def grants_capped(spark, d):
     return filters.readable(m, grants, "reader", 2, cap=2).select("id").unionByName(filters.readable(m, grants, "reader", 3, cap=2).select("id"))
 
 
+class Unwilling(models.HashingEmbedder):
+    """A stand-in that refuses texts about retention."""
+
+    def embed_documents(self, texts):
+        if any("retention" in t for t in texts):
+            raise ValueError("refused")
+        return super().embed_documents(texts)
+
+
+@query(f"WITH {_REV} SELECT id AS record_id, CASE WHEN contains(searchable_text, 'retention') THEN 'lexical-only' ELSE 'ready' END AS status, CASE WHEN contains(searchable_text, 'retention') THEN 'refused' END AS error FROM rev WHERE searchable_text IS NOT NULL AND searchable_text <> ''")
+def index_pipeline(spark, d):
+    """Segments and vectors of every revision; where a text is refused, its revision has words only."""
+    from palimpsest.operators import segments
+
+    texts = records.once(delivered(spark, d, "searchable_text").filter("searchable_text <> ''"))
+    built = segments.build(texts, "id", "searchable_text")
+    return models.index_status(built, models.embed_each(built, "segment_id", "text", Unwilling(64))).select("record_id", "status", "error")
+
+
+@query("SELECT doc_id AS id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM (SELECT DISTINCT ON (doc_id) * FROM documents) WHERE lang = 'en'")
+def count_tokens(spark, d):
+    doc = read(spark, d, "documents").filter("lang = 'en'").dropDuplicates(["doc_id"])
+    return models.count_tokens(doc, "doc_id", "text", models.HashingEmbedder())
+
+
+_HEADLESS = "regexp_replace(searchable_text, '^(Title: [^\n]*\n)?(Kind: [^\n]*\n)?(Tags: [^\n]*\n)?', '')"
+
+
+@query(f"WITH {_REV} SELECT id, md5({_HEADLESS}) AS body FROM rev WHERE searchable_text IS NOT NULL")
+def compact_excerpts(spark, d):
+    from palimpsest.operators import shape
+
+    texts = records.once(delivered(spark, d, "searchable_text").filter("searchable_text IS NOT NULL"))
+    return texts.select("id", F.md5(shape.without_head("searchable_text")).alias("body"))
+
+
 # -- search --------------------------------------------------------------------------------------
 
 def title_scorer(hits: DataFrame, text: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Generations of the vector index: a new model's vectors are built beside the current ones.
 
 A generation is a folder named by its profile. It is filled by what is not there yet, so a build
-that stopped goes on where it was; it becomes current by replacing one small pointer file."""
+that stopped goes on where it was; it becomes current by one new, numbered pointer file, of which the
+highest counts: at no moment is there none."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.operators.models import embed
 
-POINTER = "CURRENT"
+POINTER = "CURRENT-"
 SCHEMA = "segment_id string, model_profile_id string, embedding array<float>"
 
 
@@ -43,19 +44,28 @@ def publish(segments: DataFrame, embedder, base: str) -> str:
     if segments.join(vectors(spark, base, profile), "segment_id", "left_anti").limit(1).count():
         raise ValueError("the generation is not complete")
     fs, p = _fs(spark, base)
-    out = fs.create(p(f"{base}/{POINTER}.new"), True)
+    number = max(_pointers(spark, base), default=0) + 1
+    out = fs.create(p(f"{base}/.{POINTER}{number:08d}"), True)
     out.write(bytearray(profile.encode()))
     out.close()
-    fs.delete(p(f"{base}/{POINTER}"), False)
-    if not fs.rename(p(f"{base}/{POINTER}.new"), p(f"{base}/{POINTER}")):
+    # A rename to a name that another publisher took in the meantime fails.
+    if not fs.rename(p(f"{base}/.{POINTER}{number:08d}"), p(f"{base}/{POINTER}{number:08d}")):
         raise OSError("cannot publish the generation")
     return profile
 
 
+def _pointers(spark: SparkSession, base: str) -> list[int]:
+    fs, p = _fs(spark, base)
+    if not fs.exists(p(base)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p(base))]
+    return [int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER)]
+
+
 def current(spark: SparkSession, base: str) -> DataFrame | None:
     """The vectors of the current generation, or None before the first."""
-    fs, p = _fs(spark, base)
-    if not fs.exists(p(f"{base}/{POINTER}")):
+    numbers = _pointers(spark, base)
+    if not numbers:
         return None
-    profile = spark.read.text(f"{base}/{POINTER}").first()[0]
+    profile = spark.read.text(f"{base}/{POINTER}{max(numbers):08d}").first()[0]
     return vectors(spark, base, profile)
