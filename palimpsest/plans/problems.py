@@ -106,7 +106,26 @@ refs AS (
   WHERE r.k IS NOT NULL
 )"""
 
+# DuckDB also reads trailing commas and undefined numbers, which are no JSON.
+_READABLE = r"""json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '"(\\.|[^"\\])*"', '""', 'g'), ',\s*[}}\]]|NaN|Infinity|inf|nan')"""
+
+
+def json_nodes(source: str) -> str:
+    """CTEs ending in ``node(t, f, id, path, holder, is_row, v)`` of the records in ``source(t, f, id, x)``:
+    every JSON value with its path; rows are objects directly in arrays, holders the rows around."""
+    return f"""rec AS ({source}), val AS (SELECT t, f, id, CASE WHEN json_type(x) = 'VARCHAR' THEN CASE WHEN {_READABLE.format(x="(x ->> '$')")} AND json_type(x ->> '$') IN ('OBJECT', 'ARRAY') THEN (x ->> '$')::JSON ELSE x::JSON END ELSE x::JSON END AS v
+  FROM rec WHERE {_READABLE.format(x="x")}),
+node AS (SELECT t, f, id, '$' AS path, '$' AS holder, FALSE AS is_row, v FROM val
+ UNION ALL SELECT t, f, id, path || '/' || k, CASE WHEN is_row THEN path ELSE holder END, is_array AND json_type(v, '/' || k) = 'OBJECT', json_extract(v, '/' || k) FROM (
+  SELECT *, json_type(v) = 'ARRAY' AS is_array, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_distinct(list_transform(json_keys(v), lambda k: replace(replace(k, '~', '~0'), '/', '~1')))
+   WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) ELSE [] END) AS k FROM node))"""
+
+
+_P2_SOURCE = """SELECT 'memory_revisions' AS t, 'content_json' AS f, id, content_json AS x FROM (SELECT DISTINCT ON (id) * FROM memory_revisions) UNION ALL
+ SELECT 'memory_revisions', 'metadata_json', id, metadata_json FROM (SELECT DISTINCT ON (id) * FROM memory_revisions) UNION ALL SELECT 'spaces', 'metadata_json', id, metadata_json FROM spaces"""
+
 SQL = {
+    "p2_found": f"WITH RECURSIVE {json_nodes(_P2_SOURCE)} SELECT t AS table_name, f AS field, id AS record_id, path, holder AS parent_path FROM node WHERE is_row",
     "p3_found": _P3_BASE + " SELECT memory_id, covered_to AS gap_from_us, s AS gap_to_us FROM seen WHERE s > covered_to",
     "p3_periods": _P3_BASE
     + """, starts AS (

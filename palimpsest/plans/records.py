@@ -8,6 +8,7 @@ from palimpsest.functions import json_text, text
 from palimpsest.operators import feedback as fb
 from palimpsest.operators import filters, fusion, graph, lexical, models, mutate, paging, postings, segments, shape, snapshot, temporal, vectors
 from palimpsest.plans import search
+from palimpsest.plans.problems import json_nodes
 from palimpsest.sources.tables import read
 
 NOW, AT = "2024-06-30 00:00:00", "2023-09-01 00:00:00"
@@ -362,9 +363,12 @@ def projection_header(spark, d):
     return r.select("id", text.header("title", "kind", "tags").alias("header"))
 
 
-@query()
+_LEAVES = json_nodes("SELECT 't' AS t, 'f' AS f, id, content_json AS x FROM (SELECT DISTINCT ON (id) * FROM memory_revisions)")
+
+
+@query(f"WITH RECURSIVE {_LEAVES} SELECT id AS record_id, path, CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' ELSE v::VARCHAR END AS text FROM node WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')")
 def json_flatten(spark, d):
-    return json_text.flatten(revisions(spark, d, "content_json"), "id", "content_json")
+    return json_text.flatten(revisions(spark, d, "content_json"), "id", "content_json").drop("position")
 
 
 @query()
@@ -560,7 +564,15 @@ def rerank_documents(spark, d):
     return search.rerank_scores(r, best, QUERY, models.OverlapReranker())
 
 
-@query()
+def _compact_sql(**columns: str) -> str:
+    shown = ", ".join(f"CASE WHEN {has} THEN '\"{c}\":' || to_json({c})::VARCHAR END" for c, has in columns.items())
+    return f"'{{' || array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+_COMPACT = _compact_sql(memory_id="memory_id <> ''", title="title <> ''", kind="kind <> ''", tags="len(tags) > 0", confidence="confidence IS NOT NULL", salience="salience IS NOT NULL")
+
+
+@query(f"WITH {_REV} SELECT id, {_COMPACT} AS body FROM rev")
 def compact_output(spark, d):
     r = revisions(spark, d, "memory_id", "title", "kind", "tags", "confidence", "salience")
     return r.select("id", shape.compact(["memory_id", "title", "kind", "tags", "confidence", "salience"], r.schema).alias("body"))
