@@ -105,9 +105,26 @@ QUERIES = {
     "p9_rates": p9_rates,
 }
 
+#: NFKC of the full-width forms, by rule; composed letters come from NFC.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_NORMAL = f"regexp_extract_all(lower(translate(nfc_normalize(text), '{_WIDE}', '{_NARROW}')), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "unnest(list_transform(range(1, (len(w) - n + 2)::BIGINT), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS g"
+_LEAKS = f"""
+WITH i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT DISTINCT item_id, {_NORMAL} AS w FROM eval_items) WHERE len(w) > 0), ig AS (SELECT item_id, n, {_GRAMS} FROM i),
+d AS (SELECT doc_id, w, n FROM (SELECT DISTINCT doc_id, {_NORMAL} AS w FROM documents WHERE text IS NOT NULL), (SELECT DISTINCT n FROM i) WHERE len(w) >= n), dg AS (SELECT doc_id, n, {_GRAMS} FROM d),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))"""
+
 SQL = {
     "p1_found": """
 SELECT DISTINCT r.id AS revision_id, l.field AS field FROM memory_revisions r JOIN split_limits l
 ON (l.field = 'content_json' AND length(r.content_json) > l.max_chars)
 OR (l.field = 'searchable_text' AND length(r.searchable_text) > l.max_chars)""",
+    "p5_found": """
+WITH w AS (SELECT DISTINCT id, regexp_extract_all(lower(searchable_text), '[\\p{L}\\p{N}]+') AS w FROM memory_revisions WHERE id IS NOT NULL AND searchable_text IS NOT NULL),
+g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+s AS (SELECT id, len(g) AS n, unnest(g) AS h FROM g),
+o AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.id < b.id WHERE 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT a AS revision_id_a, b AS revision_id_b FROM o WHERE 10 * o >= 7 * (na + nb - o)""",
+    "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p7_items": f"{_LEAKS} SELECT item_id, count(*) AS n_documents, min(doc_id) AS first_doc_id FROM leaks GROUP BY item_id",
 }
