@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,11 @@ from palimpsest.operators import temporal
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def literal(value: str) -> str:
+    """A key or query as it is compared: NFKC, without white space around it."""
+    return unicodedata.normalize("NFKC", value).strip()
+
+
 def nocase(column: str | Column) -> Column:
     """ASCII case folding, letters beyond A-Z untouched."""
     return F.translate(column, _UPPER, _LOWER)

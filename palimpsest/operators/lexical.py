@@ -86,9 +86,9 @@ def top(df: DataFrame, k: int, id_column: str) -> DataFrame:
 def exact(heads: DataFrame, memories: DataFrame, query: str, k: int) -> DataFrame:
     """(id, memory_id, recorded_at, rank_value): revisions matched by logical key (0), memory or
     revision id (1) or title (2), each with its best rank."""
-    from palimpsest.operators.filters import nocase_equal
+    from palimpsest.operators.filters import literal, nocase_equal
 
-    q = query.strip()
+    q = literal(query)
     keyed = memories.filter(F.col("logical_key") == q).select(F.col("id").alias("memory_id")).distinct()
     branches = (
         heads.join(keyed, "memory_id", "left_semi").select("id", "memory_id", "recorded_at", F.lit(0).alias("rank_value"))

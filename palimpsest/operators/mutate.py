@@ -83,6 +83,20 @@ def unlink(links: DataFrame, tombstones: DataFrame) -> DataFrame:
     return links.join(first, "link_id", "left").withColumn("deleted_at", F.least("deleted_at", "_at")).drop("_at")
 
 
+def replace(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """The table with all rows of the keys in ``fresh`` replaced by those of ``fresh``, e.g. the segments
+    of revisions that were indexed again."""
+    return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def upsert(table: DataFrame, fresh: DataFrame, keys: list[str], parents: DataFrame | None = None) -> DataFrame:
+    """The table with the rows of ``fresh`` added or, where their keys are there, in place of the old
+    ones; with ``parents`` only rows whose keys those have."""
+    if parents is not None:
+        fresh = fresh.join(parents.select(*keys).distinct(), keys, "left_semi")
+    return table.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.dropDuplicates(keys))
+
+
 def purge(table: DataFrame, gone: DataFrame, key: str = "memory_id") -> DataFrame:
     """The table without the rows of purged memories; one anti join per table."""
     return table.join(gone.select(F.col("memory_id").alias(key)).distinct(), key, "left_anti")

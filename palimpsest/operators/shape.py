@@ -59,6 +59,30 @@ def rerank_document(evidence: Column) -> Column:
     )
 
 
+def payload_sources(sources: str | Column, observed_at: str | Column) -> Column:
+    """Sources as a result shows them: the time of observation only where it is not the record's own."""
+    own = F.col(observed_at) if isinstance(observed_at, str) else observed_at
+    same = lambda s: s["observed_at"].eqNullSafe(own)
+    return F.transform(sources, lambda s: s.withField("observed_at", F.when(~same(s), s["observed_at"])))
+
+
+def payload(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` (id, ..., sources, observed_at, index_status) as (id, body): compact JSON of ``columns``, sources as
+    :func:`payload_sources`, the index status only where it is not ``ready``."""
+    shown = df
+    if "sources" in columns:
+        shown = shown.withColumn("sources", payload_sources("sources", "observed_at"))
+    if "index_status" in columns:
+        shown = shown.withColumn("index_status", F.nullif("index_status", F.lit("ready")))
+    return shown.select("id", compact(columns, shown.schema).alias("body"))
+
+
+def acknowledgement(done: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """(command_id, outcome, body) of judged commands: what a caller is told, without what is null."""
+    told = [c for c in ("memory_id", "revision_id", "revision_number", "operation_id", "duplicate_id", "space_id") if c in done.columns]
+    return done.select("command_id", F.col(outcome).alias("outcome"), compact(told, done.schema).alias("body"))
+
+
 def compact(columns: list[str], schema: T.StructType) -> Column:
     """A row as JSON without nulls, empty strings and empty arrays."""
     shown = []

@@ -49,6 +49,23 @@ def scoped_counts(memories: DataFrame, revisions: DataFrame, events: DataFrame,
     )
 
 
+def readiness(tables: dict[str, DataFrame], vectors: DataFrame | None, embedder=None) -> dict[str, bool]:
+    """Whether each table can be read, whether there is a current generation of vectors, and whether
+    it is the embedder's."""
+    ready = {}
+    for name, df in tables.items():
+        try:
+            df.limit(1).count()
+            ready[name] = True
+        except Exception:  # noqa: BLE001 - a table that cannot be read is not ready
+            ready[name] = False
+    first = vectors.select("model_profile_id").first() if vectors is not None else None
+    ready["vectors"] = first is not None
+    if embedder is not None:
+        ready["profile"] = first is not None and first["model_profile_id"] == embedder.profile.id
+    return ready
+
+
 def export_lines(tables: dict[str, DataFrame]) -> DataFrame:
     """(kind, id, body): every row as JSON, ordered by kind and id by a range sort."""
     lines = None

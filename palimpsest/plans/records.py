@@ -128,10 +128,8 @@ def key_lookup(spark, d):
 
 @query(f"WITH {_MEM}, k AS (SELECT logical_key FROM mem WHERE logical_key IS NOT NULL ORDER BY logical_key LIMIT 1) SELECT id, space_id, logical_key FROM mem WHERE logical_key = (SELECT logical_key FROM k)")
 def logical_key_lookup(spark, d):
-    import unicodedata
-
     first = read(spark, d, "memories").agg(F.min("logical_key")).first()[0]
-    wanted = unicodedata.normalize("NFKC", f"  {first} ").strip()
+    wanted = filters.literal(f"  {first} ")
     return once(read(spark, d, "memories").filter(F.col("logical_key") == wanted).select("id", "space_id", "logical_key"))
 
 
@@ -426,6 +424,12 @@ h AS (SELECT id, memory_id, len(t0) + len(t1) + len(t2) AS dlen, {', '.join(hits
 scored AS (SELECT id, memory_id, {terms} AS score FROM h, stat WHERE {' OR '.join(f'({t}) > 0' for t in tf)})"""
 
 
+@query(f"WITH {_REV}, {_sql_bm25(QUERY)} SELECT rows, round(mean, 6) AS mean FROM stat")
+def index_statistics(spark, d):
+    """Builds the index, if the session has none of this folder yet, and shows what it counts."""
+    return index_of(spark, d).statistics.select("rows", F.round("mean", 6).alias("mean"))
+
+
 @query(f"WITH {_REV}, {_sql_bm25(QUERY)} SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 100")
 def bm25_topk(spark, d):
     scored = postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY)

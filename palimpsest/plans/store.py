@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from palimpsest.operators import commands, filters, fusion, graph, hydrate, lexical, models, projection, snapshot, temporal, traversal, validate
+from palimpsest.operators import commands, filters, graph, hydrate, lexical, models, mutate, paging, postings, projection, shape, snapshot, temporal, traversal, validate
 from palimpsest.plans import records, search
 from palimpsest.plans.records import _ELIGIBLE, _FUSED, _HEADS, _LINKS, _LIVE, _MEM, _REV, _REV_AT, _ST, _ST_AT, _STATES, _TAGS, AT, LINK_AT, NOW, QUERY, _ts, delivered, us
 from palimpsest.sources.tables import read
@@ -187,6 +187,57 @@ def compact_excerpts(spark, d):
     return texts.select("id", F.md5(shape.without_head("searchable_text")).alias("body"))
 
 
+@query(f"WITH {_REV}, w AS (SELECT memory_id FROM rev GROUP BY 1 ORDER BY count(*) DESC, memory_id LIMIT 1) SELECT id, revision_number, md5(content_json) AS content, len(sources) AS n_sources FROM rev WHERE memory_id = (SELECT memory_id FROM w) ORDER BY revision_number DESC, id DESC LIMIT 21")
+def history_content(spark, d):
+    """A page of a memory's history with the columns a caller has to ask for."""
+    r = delivered(spark, d, "memory_id")
+    longest = r.groupBy("memory_id").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "memory_id").limit(1).select("memory_id")
+    own = records.once(delivered(spark, d, "memory_id", "revision_number", "content_json", "sources").join(F.broadcast(longest), "memory_id", "left_semi"))
+    page = paging.page(own, [("revision_number", False), ("id", False)], 20)
+    return page.select("id", "revision_number", F.md5("content_json").alias("content"), F.when(F.col("sources").isNotNull(), F.size("sources")).alias("n_sources"))
+
+
+@query(f"WITH {_BASE}, {_ELIGIBLE} SELECT id, space_id FROM eligible WHERE space_id IN ('default', 'field-ops')")
+def candidate_scoped(spark, d):
+    """Candidates of two spaces, and of none, which are none."""
+    two = records._eligible(spark, d, spaces=["default", "field-ops"])
+    return two.unionByName(records._eligible(spark, d, spaces=[])).select("id", "space_id")
+
+
+@query(f"""WITH {_REV}, {_HEADS}, q AS (SELECT trim(min(title)) AS q FROM heads) SELECT id, 2 AS rank_value, id || ':0' AS segment_id FROM heads, q
+WHERE translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(q.q, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY recorded_at DESC, id LIMIT 10""")
+def exact_segments(spark, d):
+    """Exact hits with the first segment of each."""
+    h = heads(spark, d)
+    wanted = h.agg(F.min("title")).first()[0] or "none"
+    found = lexical.exact(h, records.memories(spark, d), wanted, 10)
+    few = h.join(F.broadcast(found.select("id")), "id", "left_semi")
+    return found.join(projection.first_segments(projection.field_segments(few)), F.col("id") == F.col("record_id")).select("id", "rank_value", "segment_id")
+
+
+@query()
+def bm25_segments(spark, d):
+    """The best segments of the fields of all revisions, by an inverted index of their own."""
+    key = (spark.sparkContext.applicationId, f"{d} segments")
+    if key not in records._indexes:
+        r = records.once(delivered(spark, d))
+        built = projection.field_segments(r).join(r.select(F.col("id").alias("record_id"), "title", F.array_join("tags", " ").alias("tag_text")), "record_id")
+        records._indexes[key] = postings.build(built, ["title", "text", "tag_text"], "segment_id")
+    return lexical.top(postings.search(records._indexes[key], list(search.WEIGHTS.values()), QUERY), 100, "id").withColumnRenamed("id", "segment_id")
+
+
+@query(f"WITH {_REV} SELECT id, len(list_filter(sources, lambda s: s.observed_at IS NOT NULL AND s.observed_at IS DISTINCT FROM observed_at)) AS n_own_times FROM rev WHERE sources IS NOT NULL")
+def payload_times(spark, d):
+    """How many sources of a record show a time of their own."""
+    r = records.once(delivered(spark, d, "sources", "observed_at").filter("sources IS NOT NULL"))
+    return r.select("id", F.size(F.filter(shape.payload_sources("sources", "observed_at"), lambda s: s["observed_at"].isNotNull())).alias("n_own_times"))
+
+
+@query(f"WITH {_MEM} SELECT id, CASE WHEN index_status = 'ready' OR index_status IS NULL THEN '{{{{' || '\"state\":\"' || state || '\"}}}}' ELSE '{{{{' || '\"state\":\"' || state || '\",\"index_status\":\"' || index_status || '\"}}}}' END AS body FROM mem".replace("{{", "{").replace("}}", "}"))
+def payload_status(spark, d):
+    return shape.payload(records.memories(spark, d), ["state", "index_status"])
+
+
 # -- search --------------------------------------------------------------------------------------
 
 def title_scorer(hits: DataFrame, text: str) -> DataFrame:
@@ -495,6 +546,25 @@ def mark_index_status(spark, d):
     return commands.index_status(records.memories(spark, d), _jobs(spark, d))
 
 
+@query("""WITH v AS (SELECT DISTINCT ON (segment_id) segment_id, model_profile_id FROM memory_vectors)
+SELECT segment_id, CASE WHEN substr(md5(segment_id), 1, 1) < '8' THEN 'new' ELSE model_profile_id END AS model_profile_id FROM v""")
+def upsert_vectors(spark, d):
+    """Half of the segments get vectors of a new profile; vectors of segments that are gone do not come in."""
+    v = read(spark, d, "memory_vectors").select("segment_id", "model_profile_id").dropDuplicates(["segment_id"])
+    fresh = v.filter(F.substring(F.md5("segment_id"), 1, 1) < "8").select("segment_id", F.lit("new").alias("model_profile_id"))
+    gone = fresh.select(F.concat("segment_id", F.lit(":gone")).alias("segment_id"), "model_profile_id")
+    return mutate.upsert(v, fresh.unionByName(gone), ["segment_id"], parents=v)
+
+
+@query(f"WITH {_REV} SELECT id AS record_id, 1 AS n FROM rev WHERE substr(md5(id), 1, 1) < '4' UNION ALL SELECT id, 0 FROM rev WHERE substr(md5(id), 1, 1) >= '4'")
+def replace_segments(spark, d):
+    """A quarter of the revisions are indexed again; none keeps a segment of before."""
+    ids = records.once(delivered(spark, d)).select("id")
+    old = ids.select(F.col("id").alias("record_id"), F.lit(0).alias("n"))
+    fresh = ids.filter(F.substring(F.md5("id"), 1, 1) < "4").select(F.col("id").alias("record_id"), F.lit(1).alias("n"))
+    return mutate.replace(old, fresh, "record_id")
+
+
 # -- reports and exports -------------------------------------------------------------------------
 
 @query(f"""WITH {_BASE}, {_FB2}, {_RED2}, s AS (SELECT id FROM spaces WHERE deleted_at IS NULL), m AS (SELECT * FROM mem WHERE space_id IN (SELECT id FROM s))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,30 @@ def build_session(app: str = "palimpsest", cpus: int | str = "*", **conf: str) -
     return spark
 
 
+# Shares of the cluster by lane.
+LANES = {"query": 4, "ingestion": 2, "rerank": 1}
+
+
+def lane_pools() -> str:
+    """The allocation file that gives each lane's jobs their share; a session that should use it sets
+    ``spark.scheduler.mode`` to FAIR and ``spark.scheduler.allocation.file`` to where it is written."""
+    pools = "".join(f'<pool name="{n}"><schedulingMode>FAIR</schedulingMode><weight>{w}</weight></pool>' for n, w in LANES.items())
+    return f"<allocations>{pools}</allocations>"
+
+
+@contextmanager
+def lane(spark: SparkSession, name: str):
+    """Jobs started inside run in a lane's pool."""
+    if name not in LANES:
+        raise ValueError(f"a lane is one of {sorted(LANES)}")
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -55,6 +55,79 @@ def test_generation_is_resumed_and_published_whole(spark, tmp_path):
     assert models.Profile("hashing", "1", 32).id != embedder.profile.id
 
 
+def picky():
+    # Local, so that workers get the class itself.
+    class Picky(models.HashingEmbedder):
+        def embed_documents(self, texts):
+            if "bad" in texts:
+                raise ValueError("refused")
+            return models.HashingEmbedder.embed_documents(self, texts)
+
+    return Picky(8)
+
+
+def test_one_text_costs_no_other_its_vector(spark):
+    df = spark.createDataFrame([(f"s{i}", "r1" if i < 10 else "r2", t) for i, t in enumerate(["good"] * 9 + ["bad"] + ["fine", "", None] * 4)], "segment_id string, record_id string, text string")
+    got = models.embed_each(df, "segment_id", "text", picky())
+    rows = {r.segment_id: r for r in got.collect()}
+    assert len(rows) == 18 and [k for k, r in rows.items() if r.embedding is None] == ["s9"] and rows["s9"].error == "refused"
+    assert {tuple(r) for r in models.index_status(df.filter("text IS NOT NULL"), got).collect()} == {("r1", "lexical-only", 10, "refused"), ("r2", "ready", 8, None)}
+    assert models.embed(df.limit(0), "segment_id", "text", picky()).count() == 0
+    assert {r.id: r.n_tokens for r in models.count_tokens(df, "segment_id", "text", picky()).collect()}["s12"] == 0
+
+
+def test_batches_and_breaker():
+    assert models.micro_batches(["aa"] * 5, 2) == [(0, 2), (2, 4), (4, 5)] and models.micro_batches([], 2) == []
+    assert models.micro_batches(["a" * 9, "a", "a", "a" * 9], 4, 3) == [(0, 1), (1, 3), (3, 4)]
+    now, broken = [0.0], models.Breaker(lambda: now[0])
+    for _ in range(3):
+        with pytest.raises(ZeroDivisionError):
+            broken.call(lambda: 1 / 0)
+    with pytest.raises(RuntimeError):
+        broken.call(lambda: 1)
+    now[0] = 31.0
+    assert broken.call(lambda: 1) == 1
+    for bad in ([[1.0]], [[float("nan")] * 2], [[1.0, 2.0]] * 2):
+        with pytest.raises(ValueError):
+            models.checked(bad, 1, 2)
+    assert models.warm(models.HashingEmbedder(4), models.OverlapReranker()).keys() == {"profile", "embedder", "reranker"}
+
+
+def test_payloads_and_acknowledgements(spark):
+    rows = [("a", "ready", None, [("u", None), ("v", None)]), ("b", "failed", None, None)]
+    df = spark.createDataFrame(rows, "id string, index_status string, observed_at timestamp, sources array<struct<uri string, observed_at timestamp>>")
+    got = {r.id: json.loads(r.body) for r in shape.payload(df, ["index_status", "sources"]).collect()}
+    assert got == {"a": {"sources": [{"uri": "u"}, {"uri": "v"}]}, "b": {"index_status": "failed"}}
+    done = spark.createDataFrame([("c", "m", "created"), ("d", None, "conflict")], "command_id string, memory_id string, outcome string")
+    assert {tuple(r) for r in shape.acknowledgement(done).collect()} == {("c", "created", '{"memory_id":"m"}'), ("d", "conflict", "{}")}
+
+
+def test_readiness_and_lanes(spark):
+    from palimpsest.operators import snapshot
+    from palimpsest.session import lane, lane_pools
+
+    embedder = models.HashingEmbedder(4)
+    texts = spark.createDataFrame([("s", "word")], "segment_id string, text string")
+    v = models.embed(texts, "segment_id", "text", embedder)
+    assert snapshot.readiness({"t": texts}, v, embedder) == {"t": True, "vectors": True, "profile": True}
+    assert snapshot.readiness({"t": texts}, None, embedder) == {"t": True, "vectors": False, "profile": False}
+    with lane(spark, "query"):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "query"
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None and lane_pools().count("<weight>") == 3
+    with pytest.raises(ValueError), lane(spark, "other"):
+        pass
+
+
+def test_replace_and_upsert(spark):
+    from palimpsest.operators import mutate
+
+    t = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1)], "k string, n int")
+    f = spark.createDataFrame([("a", 9), ("c", 9)], "k string, n int")
+    bag = lambda df: sorted(((r.k or "", r.n) for r in df.collect()))
+    assert bag(mutate.replace(t, f, "k")) == [("", 1), ("a", 9), ("b", 1), ("c", 9)]
+    assert bag(mutate.upsert(t, f, ["k"], parents=t)) == [("", 1), ("a", 9), ("b", 1)] and bag(mutate.upsert(t, f.limit(0), ["k"])) == bag(t)
+
+
 def test_rerank_scores(spark):
     df = spark.createDataFrame([("a", "red blue"), ("b", None), ("c", "red")], "memory_id string, document string")
     got = {r.memory_id: r.reranker for r in models.rerank_scores(df, "red blue", models.OverlapReranker()).collect()}
