@@ -66,3 +66,14 @@ def test_spans_point_into_the_stored_text():
     text = "Ａb ﬁx éa İstanbul"
     assert [text[s:e] for _, s, e in word_spans(text)][0] == "Ａb"
     assert [w for w, *_ in word_spans(text)] == normal_words(text)
+
+
+def test_passes_cut_the_same_spans(spark):
+    other = " ".join(f"term{i}" for i in range(15))
+    docs = [(1, f"a {LONG} b {other} c"), (2, f"{LONG}"), (3, "nothing here")]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS)
+    e = spark.createDataFrame([(1, LONG, "c"), (2, other, "c"), (3, LONG, "c")], ITEMS)
+    for words in (5, 2_000_000):
+        got = {r.doc_id: (r.n_spans, r.text) for r in leaks.remove_leaks(d, e, max_words=words).collect()}
+        assert got == {1: (2, "a  b  c"), 2: (1, None)}
+    assert leaks.remove_leaks(d.limit(0), e).count() == 0 and leaks.remove_leaks(d, e.limit(0)).count() == 0
