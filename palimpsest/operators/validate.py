@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from datetime import datetime
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from palimpsest.operators.feedback import CONTENT, RETRIEVAL
+
 #: The layout of tables that this version reads and writes.
 SCHEMA_VERSION = 1
 
@@ -88,23 +90,59 @@ class Rule:
     each: "Rule | None" = None
 
 
-_UUID = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-_SHARE = Rule((int, float), 0, 1)
-_WORD = Rule(str, 1, 200)
+# Lengths, counts and ranges of inputs, and the words they can be.
+_KEY, _SPACE, _ACTOR, _NOTE, _QUESTION, _CURSOR = Rule(str, 1, 500), Rule(str, 1, 200), Rule(str, 1, 200), Rule(str, 0, 4_000), Rule(str, 1, 10_000), Rule(str, 0, 2_000)
+_KIND, _TAG, _SHARE, _FLAG, _WHEN = Rule(str, 0, 100), Rule(str, 1, 100), Rule((int, float), 0, 1), Rule(bool), Rule(datetime)
+_ID = Rule(str, pattern=r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_CONTENT_CHARS = 1_000_000
+
+
+def _must(rule: Rule) -> Rule:
+    return replace(rule, required=True)
+
+
+def _many(rule: Rule, most: int, least: int = 0) -> Rule:
+    return Rule(list, least, most, each=rule)
+
+
+def _page(most: int) -> dict[str, Rule]:
+    return {"size": Rule(int, 1, most), "cursor": _CURSOR}
+
+
+_RECORD = {
+    "space_id": _SPACE, "title": Rule(str, 0, 500), "kind": _KIND, "content_json": _must(Rule(str, 1, _CONTENT_CHARS)), "tags": _many(_TAG, 100), "sources": _many(Rule(dict), 100), "salience": _SHARE, "confidence": _SHARE,
+    "observed_at": _WHEN, "valid_from": _WHEN, "valid_to": _WHEN, "expires_at": _WHEN, "review_after": _WHEN, "idempotency_key": _KEY, "actor": _ACTOR,
+}
 
 #: Inputs by command.
 RULES: dict[str, dict[str, Rule]] = {
+    "create_space": {"space_id": _SPACE, "name": _must(_SPACE), "description": Rule(str, 0, 2_000)},
+    "list_spaces": {"space_id": _SPACE, "query": Rule(str, 1, 2_000), "state": Rule(str, values=("active", "deleted")), **_page(100)},
+    "delete_space": {"space_id": _must(_SPACE)},
+    "restore_space": {"space_id": _must(_SPACE)},
+    "create": {**_RECORD, "logical_key": _KEY},
+    "revise": {**_RECORD, "memory_id": _must(_ID), "expected_revision_id": _must(_ID)},
+    "merge": {"canonical_id": _must(_ID), "canonical_revision_id": _must(_ID), "duplicates": _must(_many(_ID, 50, 1)), "actor": _ACTOR, "reason": _NOTE, "idempotency_key": _KEY},
+    "get": {"memory_id": _must(_ID), "revision_id": _ID, "at": _WHEN},
+    "get_by_key": {"space_id": _SPACE, "logical_key": _must(_KEY), "at": _WHEN},
+    "history": {"memory_id": _must(_ID), "content": _FLAG, **_page(100)},
+    "list": {"space_id": _SPACE, "state": Rule(str, values=("active", "archived")), "kind": _KIND, "tags": _many(Rule(str), 100), "feedback_status": Rule(str, values=("unreviewed", "supported", "verified", "needs-review")), **_page(200)},
     "search": {
-        "query": Rule(str, 1, 8_000, required=True), "mode": Rule(str, values=("auto", "fast", "quality", "lexical", "semantic")), "k": Rule(int, 1, 50), "spaces": Rule(list, 0, 100, each=_WORD),
-        "kinds": Rule(list, 0, 50, each=_WORD), "tags": Rule(list, 0, 50, each=_WORD), "min_confidence": _SHARE, "min_salience": _SHARE,
+        "query": _must(_QUESTION), "spaces": _many(Rule(str), 100), "states": _many(Rule(str, values=("active", "archived")), 3, 1), "kinds": _many(Rule(str), 100), "tags": _many(Rule(str), 100),
+        "min_confidence": _SHARE, "min_salience": _SHARE, "k": Rule(int, 1, 50), "mode": Rule(str, values=("auto", "fast", "quality", "lexical", "semantic")), "at": _WHEN, "valid_at": _WHEN, "expand": _FLAG,
+    },
+    "archive": {"memory_id": _must(_ID)},
+    "restore": {"memory_id": _must(_ID)},
+    "delete": {"memory_id": _must(_ID)},
+    "link": {"src": _must(_ID), "dst": _must(_ID), "relation": _must(Rule(str, 1, 200)), "valid_from": _WHEN, "valid_to": _WHEN},
+    "unlink": {"link_id": _must(_ID)},
+    "traverse": {"memory_id": _must(_ID), "depth": Rule(int, 0, 5), "at": _WHEN, "relations": _many(Rule(str, 1, 200), 50), "direction": Rule(str, values=("out", "in", "both")), "query": _QUESTION, **_page(200)},
+    "feedback": {
+        "memory_id": _must(_ID), "revision_id": _ID, "scope": _must(Rule(str, values=("content", "retrieval"))), "signal": _must(Rule(str, values=(*CONTENT, *RETRIEVAL))),
+        "actor_type": _must(Rule(str, values=("user", "agent", "system", "external"))), "actor": _ACTOR, "query": _QUESTION, "note": _NOTE, "idempotency_key": _KEY,
     },
-    "create": {"space_id": Rule(str, 1, 200, required=True), "title": Rule(str, 0, 500), "kind": _WORD, "tags": Rule(list, 0, 100, each=_WORD), "confidence": _SHARE, "salience": _SHARE, "idempotency_key": _WORD, "logical_key": _WORD},
-    "revise": {"memory_id": Rule(str, pattern=_UUID, required=True), "expected_revision_id": Rule(str, pattern=_UUID, required=True)},
-    "merge": {"canonical_id": Rule(str, pattern=_UUID, required=True), "duplicates": Rule(list, 1, 50, required=True, each=Rule(str, pattern=_UUID))},
-    "traverse": {"memory_id": Rule(str, 1, 200, required=True), "depth": Rule(int, 0, 5), "size": Rule(int, 1, 200), "direction": Rule(str, values=("out", "in", "both"))},
-    "feedback": {"memory_id": Rule(str, 1, 200, required=True), "scope": Rule(str, values=("content", "retrieval"), required=True), "signal": Rule(str, 1, 50, required=True)},
-    "list": {"size": Rule(int, 1, 200), "state": Rule(str, values=("active", "archived", "deleted"))},
-    "space": {"space_id": Rule(str, 1, 200, pattern=r"[A-Za-z0-9._-]+", required=True), "name": Rule(str, 1, 200)},
+    "list_feedback": {"memory_id": _must(_ID), "revision_id": _ID, "scope": Rule(str, values=("legacy", "content", "retrieval")), "at": _WHEN, **_page(100)},
+    "status": {"probe_models": _FLAG, "details": _FLAG},
 }
 
 
@@ -122,9 +160,11 @@ def problems(command: str, values: Mapping) -> list[str]:
 
 
 def _problem(rule: Rule, value) -> str | None:
-    if not isinstance(value, rule.kind) or isinstance(value, bool):
+    if not isinstance(value, rule.kind) or isinstance(value, bool) != (rule.kind is bool):
         return "wrong type"
-    size = value if isinstance(value, (int, float)) else len(value.strip() if isinstance(value, str) else value)
+    if isinstance(value, (bool, datetime)):
+        return None
+    size = value if isinstance(value, (int, float)) else len(value)
     if rule.least is not None and size < rule.least or rule.most is not None and size > rule.most:
         return f"not between {rule.least} and {rule.most}"
     if rule.values and value not in rule.values:

@@ -546,12 +546,6 @@ def indecisive_prune(spark, d):
     return fusion.prune_decisive(_scored30(spark, d, 0.04)).select("memory_id")
 
 
-@query()
-def search_hybrid(spark, d):
-    profile, vector = _query_vector(spark, d)
-    return search.search(_tables(spark, d), filters.Candidates(now=NOW), QUERY, vector, profile, 5)
-
-
 @query()
 def excerpts(spark, d):
     """The best lexical hits with the field of their best line and its neighbours."""

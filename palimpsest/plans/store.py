@@ -278,6 +278,14 @@ def search_fast(spark, d):
     return _search(spark, d, "fast")
 
 
+@query(_found(_BOTH, False))
+def search_hybrid(spark, d):
+    """Automatic mode without a reranker: it says so and keeps the fused order."""
+    profile, vector = records._query_vector(spark, d)
+    found = search.search(records._tables(spark, d), filters.Candidates(now=NOW), QUERY, vector, profile, 5)
+    return found.select("memory_id", F.round("fused", 9).alias("fused"), "place")
+
+
 @query(_found(_BOTH, True))
 def search_quality(spark, d):
     return _search(spark, d, "quality")

@@ -137,8 +137,9 @@ def test_search_modes(spark):
 
 def test_checks(spark, tmp_path):
     assert validate.problems("search", {"query": "x", "k": 5, "tags": ["a"]}) == []
-    assert sorted(validate.problems("search", {"k": 51, "mode": "best", "tags": ["a", ""], "other": 1})) == ["k: not between 1 and 50", "mode: none of auto, fast, quality, lexical, semantic", "other: unknown", "query: missing", "tags: item 1 not between 1 and 200"]
-    assert validate.problems("revise", {"memory_id": "x", "expected_revision_id": True}) == ["memory_id: wrong form", "expected_revision_id: wrong type"]
+    assert sorted(validate.problems("search", {"k": 51, "mode": "best", "tags": ["a", 5], "other": 1, "expand": 1, "at": T(1)})) == ["expand: wrong type", "k: not between 1 and 50", "mode: none of auto, fast, quality, lexical, semantic", "other: unknown", "query: missing", "tags: item 1 wrong type"]
+    assert validate.problems("revise", {"memory_id": "x", "expected_revision_id": True, "content_json": "{}"}) == ["memory_id: wrong form", "expected_revision_id: wrong type"]
+    assert validate.problems("status", {"details": True}) == [] and validate.problems("delete", {"memory_id": None}) == ["memory_id: missing"]
     assert validate.parts_of(validate.address("a/b", "m é", True)) == ("a/b", "m é", True)
     with pytest.raises(ValueError):
         validate.parts_of("memory://spaces/a")
