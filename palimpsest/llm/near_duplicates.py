@@ -201,7 +201,7 @@ class NearDuplicates:
         """(id_a, id_b), id_a < id_b: every pair of texts, those of equal texts too.
 
         Large classes meet in pairs of blocks, so that no key gives more than BLOCK x BLOCK rows."""
-        classes = self._classes().withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        classes = materialize(self._classes().withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "classes")
         member = join_unique(self.members, classes, ["h1", "h2"]).select("did", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
         member = materialize(member, "texts")
         # Classes of one text have no pair of their own.
