@@ -42,6 +42,15 @@ def build(corpus: DataFrame, columns: list[str], id_column: str = "id") -> Index
     return Index(materialize(sorted_rows, "postings"), materialize(counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean")), "statistics"))
 
 
+def exists(index: Index) -> bool:
+    """Whether the index's files are still there."""
+    try:
+        index.postings.limit(1).count()
+        return index.statistics.first() is not None
+    except Exception:  # noqa: BLE001 - files that cannot be read are gone
+        return False
+
+
 def _phrase(words: list[str], number: dict[str, int]) -> Column:
     """How often the words follow each other in one column."""
     begins = lambda word, step: F.transform(F.col(f"_p{number[word]}"), lambda x: x - step)

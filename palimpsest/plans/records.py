@@ -392,9 +392,19 @@ _indexes: dict[tuple[str, str], postings.Index] = {}
 
 def index_of(spark: SparkSession, d: str) -> postings.Index:
     """The inverted index of the revisions in ``d``, built when a session first asks for it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        _indexes[key] = postings.build(search.corpus(delivered(spark, d)), list(search.WEIGHTS))
+    return kept_index(spark, d, lambda: postings.build(search.corpus(delivered(spark, d)), list(search.WEIGHTS)))
+
+
+def unit_index(spark: SparkSession, d: str, units) -> postings.Index:
+    """The index of the lines or segments of all revisions."""
+    return kept_index(spark, f"{d} {units.__name__}", lambda: postings.build(units(delivered(spark, d, "searchable_text")), ["text"], "unit"))
+
+
+def kept_index(spark: SparkSession, name: str, build) -> postings.Index:
+    """The session's index of that name, built again where its files are gone."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _indexes or not postings.exists(_indexes[key]):
+        _indexes[key] = build()
     return _indexes[key]
 
 
@@ -551,7 +561,7 @@ def excerpts(spark, d):
     """The best lexical hits with the field of their best line and its neighbours."""
     r = revisions(spark, d)
     best = lexical.top(postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY), 50, "id")
-    return search.excerpts(r, best, QUERY)
+    return search.excerpts(r, best, QUERY, unit_index(spark, d, search.line_units))
 
 
 @query()
@@ -559,7 +569,7 @@ def rerank_documents(spark, d):
     """Scores of the best hits' documents by the stand-in reranker."""
     r = revisions(spark, d)
     best = lexical.top(postings.search(index_of(spark, d), list(search.WEIGHTS.values()), QUERY), 30, "id").select("id")
-    return search.rerank_scores(r, best, QUERY, models.OverlapReranker())
+    return search.rerank_scores(r, best, QUERY, models.OverlapReranker(), unit_index(spark, d, search.segment_units))
 
 
 def _compact_sql(**columns: str) -> str:

@@ -58,25 +58,44 @@ def channels(tables: Tables, wanted: filters.Candidates, query: str, vector: lis
     return found
 
 
-def matched_segments(revisions: DataFrame, hits: DataFrame, query: str, most: int = EVIDENCE_SEGMENTS) -> DataFrame:
-    """(id, matched): the best ``most`` index segments of each of the few ``hits`` (id), best first,
-    by BM25 over the segments of all revisions. A hit without a matching segment has no row."""
-    built = segments.build(revisions, "id", "searchable_text").select(F.col("record_id").alias("id"), "ordinal", "text")
-    scored = lexical.bm25(built, {"text": 1.0}, query).join(F.broadcast(hits.select("id")), "id", "left_semi")
+def segment_units(revisions: DataFrame) -> DataFrame:
+    """(unit, id, ordinal, text): the index segments of revisions, each by a name of its own."""
+    built = segments.build(revisions, "id", "searchable_text")
+    return built.select(F.col("segment_id").alias("unit"), F.col("record_id").alias("id"), "ordinal", "text")
+
+
+def line_units(revisions: DataFrame) -> DataFrame:
+    """(unit, id, position, part, text): the lines of revisions, those too long for an excerpt in parts."""
+    lines = revisions.select("id", F.posexplode(F.split("searchable_text", "\n")).alias("position", "line"))
+    whole = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{shape.EXCERPT}}}(?!\S)|.{{1,{shape.EXCERPT}}}"), F.lit(0))
+    parts = lines.select("id", "position", F.posexplode(whole).alias("part", "text"))
+    return parts.select(F.concat_ws(":", "id", "position", "part").alias("unit"), "id", "position", "part", "text")
+
+
+def _scored(units: Callable[[DataFrame], DataFrame], revisions: DataFrame, hits: DataFrame, query: str, index: postings.Index | None) -> DataFrame:
+    """The units of the few ``hits`` (id) that match, with their score by BM25 over the units of all
+    revisions: from an ``index`` of those (column ``text``), or by scoring every one."""
+    if index is None:
+        return lexical.bm25(units(revisions), {"text": 1.0}, query).join(F.broadcast(hits.select("id")), "id", "left_semi")
+    few = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi")
+    return units(few).join(postings.search(index, [1.0], query).withColumnRenamed("id", "unit"), "unit")
+
+
+def matched_segments(revisions: DataFrame, hits: DataFrame, query: str, most: int = EVIDENCE_SEGMENTS, index: postings.Index | None = None) -> DataFrame:
+    """(id, matched): the best ``most`` index segments of each of the few ``hits`` (id), best first. A
+    hit without a matching segment has no row."""
+    scored = _scored(segment_units, revisions, hits, query, index)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ordinal"))
     best = scored.withColumn("n", place).filter(F.col("n") <= most)
     ordered = F.sort_array(F.collect_list(F.struct("n", "text")))
     return best.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("matched"))
 
 
-def matched_lines(revisions: DataFrame, hits: DataFrame, query: str) -> DataFrame:
-    """(id, path, at, matched): the best line of each of the few ``hits`` (id), by BM25 over the lines
-    of all revisions. ``path`` is that of the field it lies in, empty for head lines; ``at`` is null
-    where the line does not begin the field. Of a line too long for an excerpt ``matched`` is the best part."""
-    lines = revisions.select("id", F.posexplode(F.split("searchable_text", "\n")).alias("position", "line"))
-    whole = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{shape.EXCERPT}}}(?!\S)|.{{1,{shape.EXCERPT}}}"), F.lit(0))
-    parts = lines.select("id", "position", F.posexplode(whole).alias("part", "text"))
-    scored = lexical.bm25(parts, {"text": 1.0}, query).join(F.broadcast(hits.select("id")), "id", "left_semi")
+def matched_lines(revisions: DataFrame, hits: DataFrame, query: str, index: postings.Index | None = None) -> DataFrame:
+    """(id, path, at, matched): the best line of each of the few ``hits`` (id). ``path`` is that of the
+    field it lies in, empty for head lines; ``at`` is null where the line does not begin the field. Of a
+    line too long for an excerpt ``matched`` is the best part."""
+    scored = _scored(line_units, revisions, hits, query, index)
     few = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", F.split("searchable_text", "\n").alias("_lines"))
     path = lambda line: F.regexp_extract(line, FIELD_LINE, 1)
     before = F.filter(F.transform(F.slice("_lines", 1, F.col("position") + 1), path), lambda p: p != "")
@@ -87,17 +106,17 @@ def matched_lines(revisions: DataFrame, hits: DataFrame, query: str) -> DataFram
     return placed.withColumn("n", place).filter("n = 1").select("id", "path", "at", F.col("text").alias("matched"))
 
 
-def excerpts(revisions: DataFrame, hits: DataFrame, query: str) -> DataFrame:
+def excerpts(revisions: DataFrame, hits: DataFrame, query: str, index: postings.Index | None = None) -> DataFrame:
     """(id, path, excerpt) of the few ``hits`` (id): what surrounds the best line."""
     texts = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").select("id", "searchable_text")
-    found = texts.join(matched_lines(revisions, hits, query), "id", "left")
+    found = texts.join(matched_lines(revisions, hits, query, index), "id", "left")
     shown = found.withColumns({"path": F.coalesce("path", F.lit("")), "at": F.coalesce("at", F.lit("")), "matched": F.coalesce("matched", "searchable_text")})
     return shape.with_excerpt(shown, "id", "searchable_text", "at", "matched").select("id", "path", "excerpt")
 
 
-def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker) -> DataFrame:
+def rerank_scores(revisions: DataFrame, hits: DataFrame, query: str, reranker, index: postings.Index | None = None) -> DataFrame:
     """(memory_id, reranker) of the few ``hits`` (id), from what matched in them."""
-    rows = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").join(matched_segments(revisions, hits, query), "id", "left")
+    rows = revisions.join(F.broadcast(hits.select("id")), "id", "left_semi").join(matched_segments(revisions, hits, query, index=index), "id", "left")
     documents = rows.withColumn("document", shape.rerank_document(F.coalesce("matched", "searchable_text")))
     return models.rerank_scores(documents, query, reranker)
 
@@ -147,6 +166,6 @@ def search(
     )
 
 
-def model_scorer(revisions: DataFrame, reranker) -> Callable[[DataFrame, str], DataFrame]:
+def model_scorer(revisions: DataFrame, reranker, index: postings.Index | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """A scorer that gives a model the documents of :func:`rerank_scores`."""
-    return lambda hits, query: rerank_scores(revisions.dropDuplicates(["id"]), hits, query, reranker)
+    return lambda hits, query: rerank_scores(revisions.dropDuplicates(["id"]), hits, query, reranker, index)

@@ -218,12 +218,13 @@ def exact_segments(spark, d):
 @query()
 def bm25_segments(spark, d):
     """The best segments of the fields of all revisions, by an inverted index of their own."""
-    key = (spark.sparkContext.applicationId, f"{d} segments")
-    if key not in records._indexes:
+    def build() -> postings.Index:
         r = records.once(delivered(spark, d))
         built = projection.field_segments(r).join(r.select(F.col("id").alias("record_id"), "title", F.array_join("tags", " ").alias("tag_text")), "record_id")
-        records._indexes[key] = postings.build(built, ["title", "text", "tag_text"], "segment_id")
-    return lexical.top(postings.search(records._indexes[key], list(search.WEIGHTS.values()), QUERY), 100, "id").withColumnRenamed("id", "segment_id")
+        return postings.build(built, ["title", "text", "tag_text"], "segment_id")
+
+    index = records.kept_index(spark, f"{d} segments", build)
+    return lexical.top(postings.search(index, list(search.WEIGHTS.values()), QUERY), 100, "id").withColumnRenamed("id", "segment_id")
 
 
 @query(f"WITH {_REV} SELECT id, len(list_filter(sources, lambda s: s.observed_at IS NOT NULL AND s.observed_at IS DISTINCT FROM observed_at)) AS n_own_times FROM rev WHERE sources IS NOT NULL")
@@ -315,8 +316,8 @@ def search_expanded(spark, d):
     edges = graph.directed(moved).select("a", "b", "created_at", "link_id")
     tables = search.Tables(t.memories, t.revisions, t.events, t.spaces, t.vectors, t.index, edges)
     profile, vector = records._query_vector(spark, d)
-    found = search.search(tables, filters.Candidates(now=NOW), QUERY, vector, profile, 10, mode="quality", scorer=search.model_scorer(tables.revisions, models.OverlapReranker()), expand=True)
-    shown = search.excerpts(records.revisions(spark, d), found.select(F.col("evidence").alias("id")), QUERY)
+    found = search.search(tables, filters.Candidates(now=NOW), QUERY, vector, profile, 10, mode="quality", scorer=search.model_scorer(tables.revisions, models.OverlapReranker(), records.unit_index(spark, d, search.segment_units)), expand=True)
+    shown = search.excerpts(records.revisions(spark, d), found.select(F.col("evidence").alias("id")), QUERY, records.unit_index(spark, d, search.line_units))
     return found.join(shown.withColumnRenamed("id", "evidence"), "evidence", "left")
 
 

@@ -148,6 +148,17 @@ def test_late_match_reaches_the_reranker(spark):
     assert none.reranker == 0.0
 
 
+def test_an_index_gives_the_same_evidence(spark):
+    from palimpsest.operators import lexical, postings
+
+    r = records.revisions(spark, TINY)
+    hits = lexical.top(lexical.bm25(search.corpus(r), search.WEIGHTS, records.QUERY), 12, "id").select("id")
+    for units, show in ((search.segment_units, search.matched_segments), (search.line_units, search.matched_lines)):
+        index = postings.build(units(r), ["text"], "unit")
+        want = {tuple(x) for x in show(r, hits, records.QUERY).collect()}
+        assert {tuple(x) for x in show(r, hits, records.QUERY, index=index).collect()} == want and want
+
+
 def test_excerpt_is_round_the_matched_line(spark):
     long = "$/a: " + "word " * 900 + "retention " + "word " * 900
     texts = {"late": LATE, "long": f"{long}\n$/b: x", "more": "Title: T\n$/a: one\ntwo retention\n$/b: x", "head": "Title: retention\n$/a: x\n$/b: y", "none": "Title: T\n$/a: x"}
