@@ -7,12 +7,15 @@ terms and the one row of corpus statistics, whatever the size of the corpus.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.functions import text
-from palimpsest.functions.columns import computed_once
 from palimpsest.operators.lexical import B, K1, LEAST_IDF, query_phrases
 from palimpsest.session import materialize
 
@@ -20,26 +23,56 @@ from palimpsest.session import materialize
 @dataclass(frozen=True)
 class Index:
     """``postings`` (term, id, field, size, at): the positions of a term in one column of a record
-    and the record's tokens in all columns; ``statistics``: (rows, mean) of all records."""
+    and how many tokens the record has in all columns, repeats of redelivered records included;
+    ``statistics``: (rows, mean) of all records."""
 
     postings: DataFrame
     statistics: DataFrame
 
 
+POSTINGS = "term string, id string, field int, size int, at array<int>"
+#: Partitions that the records of one term spread over, however many they are.
+SALT = 16
+
+
 def build(corpus: DataFrame, columns: list[str], id_column: str = "id") -> Index:
     """The index of ``columns``; a field is a column's place among them. Redelivered records (same id)
-    count once, rows with a null id leave, null texts have no tokens."""
-    narrow = corpus.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]).filter("id IS NOT NULL")
-    split = computed_once(narrow, {f"_t{i}": text.tokens(f"_c{i}") for i in range(len(columns))})
-    sizes = sum((F.size(f"_t{i}") for i in range(1, len(columns))), F.size("_t0"))
-    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"_t{i}").alias("tokens")) for i in range(len(columns))])
-    rows = split.select("id", sizes.alias("size"), F.inline(fields))
-    placed = rows.select("id", "size", "field", F.posexplode("tokens").alias("at", "term"))
-    # A set: what a redelivered row repeats are the same positions.
-    grouped = placed.groupBy("term", "id", "field", "size").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    sorted_rows = grouped.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-    counted = split.select("id", sizes.alias("size")).dropDuplicates(["id"])
-    return Index(materialize(sorted_rows, "postings"), materialize(counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean")), "statistics"))
+    count once, rows with a null id leave, null texts have no tokens.
+
+    A batch of records is turned over at once: its tokens are numbered, and sorting the pairs of
+    record and number brings the positions of each posting together. Every record also has a row
+    of the empty term, which holds its size.
+    """
+    narrow = corpus.select(F.col(id_column).cast("string").alias("id"), *[text.tokens(c).alias(f"t{i}") for i, c in enumerate(columns)]).filter("id IS NOT NULL")
+    target = T._parse_datatype_string(POSTINGS)
+
+    def rows(terms: pa.Array, ids: pa.Array, field: int, size: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32()))
+        return pa.RecordBatch.from_arrays([terms, ids, pa.array(np.full(len(terms), field), pa.int32()), pa.array(size, pa.int32()), lists], names=target.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = batch.column(0).cast(pa.string()), batch.num_rows
+            lengths = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]]
+            size = sum(lengths)
+            yield rows(pa.array([""] * n, pa.string()), ids, 0, size, np.zeros(n + 1), np.empty(0))
+            for field, length in enumerate(lengths):
+                words = batch.column(field + 1).flatten().cast(pa.string()).dictionary_encode()
+                if not len(words):
+                    continue
+                record = np.repeat(np.arange(n), length)
+                place = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
+                key = record * len(words.dictionary) + words.indices.to_numpy().astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                own = record[order[first]]
+                terms = words.dictionary.take(words.indices.take(pa.array(order[first])))
+                yield rows(terms, ids.take(pa.array(own)), field, size[own], np.append(first, len(key)), place[order])
+
+    spread = narrow.mapInArrow(run, target).repartition("term", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    written = materialize(spread.sortWithinPartitions("term", "id"), "postings")
+    counted = written.filter("term = ''").select("id", "size").dropDuplicates(["id"])
+    return Index(written, materialize(counted.agg(F.count(F.lit(1)).alias("rows"), F.avg("size").alias("mean")), "statistics"))
 
 
 def exists(index: Index) -> bool:
