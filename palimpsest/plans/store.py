@@ -60,7 +60,7 @@ _BASE = f"{_REV}, {_MEM}, {_ST}, {_HEADS}, {_STATES}"
 # -- whole records -------------------------------------------------------------------------------
 
 @query(f"""WITH {_BASE}, {_FB2}, {_RED2}, f AS (SELECT revision_id, count(*) AS n, arg_max(signal, {{'c': created_at, 'i': id}}) AS latest FROM fb GROUP BY 1), mc AS (SELECT canonical_memory_id, count(*) AS n FROM red GROUP BY 1)
-SELECT h.id, h.memory_id, s.state, array_to_string(coalesce({_TAGS}, []), ',') AS tags, coalesce(len(h.sources), 0) AS n_sources, coalesce(f.n, 0) AS content_count,
+SELECT h.id, h.memory_id, s.state, array_to_string(coalesce({_TAGS}, []), ',') AS tags, coalesce(len(h.sources), 0)::INTEGER AS n_sources, coalesce(f.n, 0) AS content_count,
 CASE WHEN f.latest IS NULL THEN 'unreviewed' WHEN f.latest = 'verified' THEN 'verified' WHEN f.latest = 'correct' THEN 'supported' ELSE 'needs-review' END AS feedback_status,
 coalesce(r.canonical_memory_id, h.memory_id) AS canonical_id, coalesce(mc.n, 0) AS merged_count
 FROM heads h JOIN states s USING (memory_id) LEFT JOIN f ON f.revision_id = h.id LEFT JOIN red r ON r.source_memory_id = h.memory_id LEFT JOIN mc ON mc.canonical_memory_id = h.memory_id""")
@@ -115,7 +115,7 @@ def revisions_until(spark, d):
     return seen.select("id", "memory_id", us("recorded_at").alias("recorded_us")).orderBy("recorded_us", "id")
 
 
-@query(f"WITH {_REV}, w AS (SELECT memory_id, space_id FROM rev GROUP BY ALL ORDER BY count(*) DESC, memory_id, space_id LIMIT 1) SELECT id, revision_number, title, length(content_json) AS content_chars FROM rev JOIN w USING (memory_id, space_id)")
+@query(f"WITH {_REV}, w AS (SELECT memory_id, space_id FROM rev GROUP BY ALL ORDER BY count(*) DESC, memory_id, space_id LIMIT 1) SELECT id, revision_number, title, length(content_json)::INTEGER AS content_chars FROM rev JOIN w USING (memory_id, space_id)")
 def read_address(spark, d):
     r = delivered(spark, d, "memory_id", "space_id", "revision_number", "title", "content_json")
     best = r.groupBy("memory_id", "space_id").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "memory_id", "space_id").first()
@@ -187,7 +187,7 @@ def compact_excerpts(spark, d):
     return texts.select("id", F.md5(shape.without_head("searchable_text")).alias("body"))
 
 
-@query(f"WITH {_REV}, w AS (SELECT memory_id FROM rev GROUP BY 1 ORDER BY count(*) DESC, memory_id LIMIT 1) SELECT id, revision_number, md5(content_json) AS content, len(sources) AS n_sources FROM rev WHERE memory_id = (SELECT memory_id FROM w) ORDER BY revision_number DESC, id DESC LIMIT 21")
+@query(f"WITH {_REV}, w AS (SELECT memory_id FROM rev GROUP BY 1 ORDER BY count(*) DESC, memory_id LIMIT 1) SELECT id, revision_number, md5(content_json) AS content, len(sources)::INTEGER AS n_sources FROM rev WHERE memory_id = (SELECT memory_id FROM w) ORDER BY revision_number DESC, id DESC LIMIT 21")
 def history_content(spark, d):
     """A page of a memory's history with the columns a caller has to ask for."""
     r = delivered(spark, d, "memory_id")
@@ -227,7 +227,7 @@ def bm25_segments(spark, d):
     return lexical.top(postings.search(index, list(search.WEIGHTS.values()), QUERY), 100, "id").withColumnRenamed("id", "segment_id")
 
 
-@query(f"WITH {_REV} SELECT id, len(list_filter(sources, lambda s: s.observed_at IS NOT NULL AND s.observed_at IS DISTINCT FROM observed_at)) AS n_own_times FROM rev WHERE sources IS NOT NULL")
+@query(f"WITH {_REV} SELECT id, len(list_filter(sources, lambda s: s.observed_at IS NOT NULL AND s.observed_at IS DISTINCT FROM observed_at))::INTEGER AS n_own_times FROM rev WHERE sources IS NOT NULL")
 def payload_times(spark, d):
     """How many sources of a record show a time of their own."""
     r = records.once(delivered(spark, d, "sources", "observed_at").filter("sources IS NOT NULL"))
@@ -336,7 +336,7 @@ two AS (SELECT id, row_number() OVER (ORDER BY min(struct_pack(p := parent, c :=
 walk AS (SELECT * FROM (SELECT 'P1' AS memory_id, 0 AS depth, 0 AS place UNION ALL SELECT id, 1, place FROM one UNION ALL SELECT id, 2, place FROM two) WHERE place < 500)"""
 
 
-@query(f"WITH {_WALK} SELECT memory_id, depth, place FROM walk WHERE place >= 20 AND place < 40")
+@query(f"WITH {_WALK} SELECT memory_id, depth, place::INTEGER AS place FROM walk WHERE place >= 20 AND place < 40")
 def traverse_page(spark, d):
     """The second page of a traversal, by the cursor of the first."""
     walked, asked = _walk(spark, d), {"root": "P1", "depth": 2}
